@@ -4,16 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.llm import quality as fm
+from factloom.llm import toxicity as lexicon
 from factloom.llm.common import read, stage
+from factloom.llm.neardup import near_duplicates
 from factloom.llm.packing import pack_documents
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier (op5) accepts; it learns from labelled rows among them outside the held-out fold."""
+    machine = fm.learn(docs, read(spark, sf_dir, "labels"))
+    return fm.score_quality(docs, machine).where("predicted = 1").select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity lexicon (op7) does not reject."""
+    words = lexicon.learn(docs, read(spark, sf_dir, "labels"))
+    return lexicon.score_toxicity(docs, words).where("predicted = 0").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (op3: five words, a similarity of 0.8 or more): the smallest doc_id.
+
+    Rows that repeat a kept doc_id stay with it; rows without a doc_id can't be named as copies and stay.
+    """
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces of the documents that were kept (the operator of op10)."""
+    """Packed pieces of the documents that were kept (op10)."""
     return pack_documents(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_dedup", near_dedup), ("packing", packing)]
 
 #: SQL can't express the stages (models, sketches, tokenizers); tests compare them with brute force.
 ORACLE_SQL = None

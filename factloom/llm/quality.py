@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold_case, read, span_hashes, spans, text_slices
 from .labels import held_out, training_rows
@@ -15,6 +16,8 @@ from .labels import held_out, training_rows
 #: Labelled documents that the machine is fitted on, at most.
 SAMPLE = 8_000
 BITS = 14
+#: Steps of learning, at least: small samples are gone through more often.
+LEAST_STEPS = 600
 WORDS = 1 << BITS
 BINS = 16
 RANK = 8
@@ -90,7 +93,7 @@ def raw_scores(m: Machine, idx, x, at) -> tuple[np.ndarray, np.ndarray]:
     return m.bias + np.add.reduceat(m.linear[idx] * x, at[:-1]) + ((sums * sums).sum(axis=1) - squares) / 2, sums
 
 
-def fit(idx, x, at, stats, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.1, shrink: float = 2e-5) -> Machine:
+def fit(idx, x, at, stats, y: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.1, shrink: float = 2e-5) -> Machine:
     """AdaGrad on the logistic loss, in an order fixed by a seed; with no rows or one class only the prior is learned."""
     edges = np.array([np.quantile(stats[:, s], np.arange(1, BINS) / BINS) if len(y) else np.zeros(BINS - 1) for s in range(len(STATS))])
     rng = np.random.default_rng(5)
@@ -100,6 +103,7 @@ def fit(idx, x, at, stats, y: np.ndarray, epochs: int = 12, batch: int = 128, ra
         m.factors[:] = 0
         return m
     idx, x, at = _with_bins(idx, x, at, stats, edges)
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(y)))
     g1, g2, g0 = np.full(FEATURES, 1e-2), np.full((FEATURES, RANK), 1e-2), 1.0
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -167,7 +171,7 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) ->
                 part = b.slice(lo, len(offs) - 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*names, "score"])
 
-    scored = docs.mapInArrow(run, docs.schema.add("score", "double"))
+    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

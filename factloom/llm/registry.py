@@ -1,7 +1,11 @@
 """Queries of this package, by the names that __spark_entry__.py gives out."""
 
+from .neardup import op3_minhash_neardup
 from .packing import op10_packing
+from .quality import op5_quality_fm
 from .tokens import op6_token_counts, op8_bpe_codec
+from .toxicity import op7_toxicity_lexicon
+from .vectors import op9_embedding_neardup
 
-QUERIES = {"op6_token_counts": op6_token_counts, "op8_bpe_codec": op8_bpe_codec, "op10_packing": op10_packing}
+QUERIES = {f.__name__: f for f in (op3_minhash_neardup, op5_quality_fm, op6_token_counts, op7_toxicity_lexicon, op8_bpe_codec, op9_embedding_neardup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
