@@ -16,8 +16,10 @@ from .components import components
 SAMPLE, CLUSTERS = 32_768, 1024
 #: Vectors a cluster is meant to hold; clusters that each vector joins; members of a shard that one task holds on either side.
 CLUSTER_SIZE, OVERLAP, BLOCK = 600, 4, 2048
-#: Candidates for pruning, kept neighbours, slack of the pruning rule, expansions before the range is walked, slack of the range.
-CANDIDATES, DEGREE, ALPHA, WALK, SLACK = 48, 24, 1.2, 32, 0.08
+#: Candidates for pruning (nearest, and spaced over all ranks), neighbours kept, and slack of the pruning rule.
+NEAREST, FAR, DEGREE, ALPHA = 24, 32, 40, 1.44
+#: Expansions before the range is walked; how far below the range the walk still goes.
+WALK, SLACK = 32, 0.08
 
 
 def usable(v):
@@ -47,32 +49,42 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def robust_pruned(x: np.ndarray) -> np.ndarray:
-    """Neighbours of each vector (own index where there are fewer): nearest first, leaving out what a kept one is clearly nearer to."""
+    """Neighbours of each vector (own index where there are fewer), and as many that have it as theirs.
+
+    Candidates are the nearest vectors and others at ranks spaced as powers, which make the long edges of the graph.
+    They are gone through nearest first; of the nearest, what a kept one is clearly nearer to is left out.
+    """
     n = len(x)
-    out = np.repeat(np.arange(n)[:, None], DEGREE, axis=1)
-    k = min(CANDIDATES, n - 1)
-    if k < 1:
+    out = np.repeat(np.arange(n)[:, None], 2 * DEGREE, axis=1)
+    if n < 2:
         return out
+    ranks = np.unique(np.concatenate([np.arange(min(NEAREST, n - 1)), np.geomspace(1, n - 1, FAR).astype(int) - 1]))
+    close = min(NEAREST, n - 1)
     for lo in range(0, n, 256):
         sims = x[lo : lo + 256] @ x.T
         rows = np.arange(len(sims))
         sims[rows, lo + rows] = -2
-        cand = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        cand = np.take_along_axis(cand, np.argsort(-np.take_along_axis(sims, cand, axis=1), axis=1, kind="stable"), axis=1)
+        cand = np.argsort(-sims, axis=1, kind="stable")[:, ranks]
         far = 1 - np.take_along_axis(sims, cand, axis=1)
         between = 1 - np.einsum("rid,rjd->rij", x[cand], x[cand])
         alive, count = np.ones(cand.shape, dtype=bool), np.zeros(len(sims), np.int64)
-        for j in range(k):
+        for j in range(len(ranks)):
             take = alive[:, j] & (count < DEGREE)
             who = rows[take]
             out[lo + who, count[take]] = cand[take, j]
             count[take] += 1
-            alive[who] &= ALPHA * between[who, j] > far[who]
+            alive[who, :close] &= (ALPHA * between[who, j] > far[who])[:, :close]
+    source, place = np.nonzero(out[:, :DEGREE] != np.arange(n)[:, None])
+    target = out[source, place]
+    order = np.lexsort((place, target))
+    source, target = source[order], target[order]
+    nth = np.arange(len(target)) - np.searchsorted(target, target)
+    out[target[nth < DEGREE], DEGREE + nth[nth < DEGREE]] = source[nth < DEGREE]
     return out
 
 
 def range_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, least: float):
-    """Yields (query indices, found mask over x): greedy walks from the medoids, then a walk over all of the widened range."""
+    """Yields (query indices, found mask over x): greedy walks from the medoids and the query's own node, then a walk over all of the widened range."""
     n = len(x)
     for lo in range(0, len(queries), 256):
         q = queries[lo : lo + 256]
@@ -80,6 +92,7 @@ def range_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: n
         sims = np.full((len(q), n), -2.0)
         done = np.zeros((len(q), n), dtype=bool)
         sims[:, start] = x[q] @ x[start].T
+        sims[rows, q] = 1.0
         step = 0
         live = rows
         while len(live):
