@@ -1,4 +1,461 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, each with DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import adapters as A
+from .functions import numbers as N
+from .functions import similarity as S
+from .functions import text as T
+from .operators import layout, normalize, prove, report
+from .plans.dims import DERIVATIONS, EXPECTED, IDENTITIES, METRIC_NAMES, METRICS, PERIOD, SIGN_AMBIGUOUS, TIES, UNITS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(_lit(v) if isinstance(v, str) else "NULL" if v is None else str(v) for v in r) + ")" for r in rows)
+
+
+OBS, VOTES, BASES, TOKENS, LABELS, GOLDEN = map(A.oracle, (A.OBS, A.VOTES, A.BASES, A.TOKENS, A.LABELS, A.GOLDEN))
+WITHIN = "abs({a} - {b}) <= greatest(2.0, 0.005 * greatest(abs({a}), abs({b})))"
+
+
+def _within(a: str, b: str) -> str:
+    return WITHIN.format(a=f"({a})", b=f"({b})")
+
+
+# --- number tokens and texts -------------------------------------------------------------------------------------
+
+PARSE = r"""
+(SELECT CASE WHEN NOT regexp_matches(t, '[0-9]') OR NOT regexp_matches(d, '^([0-9]+\.?[0-9]*|\.[0-9]+)$') THEN NULL WHEN w <> m THEN -CAST(d AS DOUBLE) ELSE CAST(d AS DOUBLE) END
+ FROM (SELECT t, w, starts_with(b, '-') AS m, CASE WHEN starts_with(b, '-') THEN substr(b, 2) ELSE b END AS d
+ FROM (SELECT t, regexp_matches(t, '^\(.*\)$') AS w, regexp_replace(CASE WHEN regexp_matches(t, '^\(.*\)$') THEN regexp_replace(t, '^\(|\)$', '', 'g') ELSE t END, '[, %]', '', 'g') AS b
+ FROM (SELECT translate(rtrim(trim({tok}), '*#†'), '−–—', '---') AS t))))"""
+IS_NUMERIC = r"(regexp_matches({t}, '^[0-9,().%\-−–—]+$') AND regexp_matches({t}, '[0-9]'))"
+
+
+@query("f1_parse_number", f"SELECT id, tok, {PARSE.format(tok='tok')} AS value FROM ({TOKENS})")
+def f1(spark, sf):
+    return A.relation(spark, sf, A.TOKENS).withColumn("value", N.parse_number(F.col("tok")))
+
+
+@query("p4_numeric_token", f"SELECT id, {IS_NUMERIC.format(t='tok')} AS is_number, tok IN ('-', '−', '–', '—') AS is_nil FROM ({TOKENS})")
+def p4(spark, sf):
+    return A.relation(spark, sf, A.TOKENS).select("id", N.is_numeric(F.col("tok")).alias("is_number"), N.is_placeholder(F.col("tok")).alias("is_nil"))
+
+
+PAIRS = f"SELECT id, tok, lead(tok) OVER (PARTITION BY id // 10 ORDER BY id, tok) AS nxt FROM ({TOKENS})"
+
+
+def _pairs(spark, sf):
+    return A.relation(spark, sf, A.TOKENS).selectExpr("id", "tok", "lead(tok) OVER (PARTITION BY id div 10 ORDER BY id, tok) AS nxt")
+
+
+@query("p17_note_ref", rf"""
+SELECT id, CASE WHEN regexp_matches(trim(tok), '^\d{{1,2}}$') THEN true
+  WHEN regexp_matches(trim(tok), '^(\d{{3}}|\d{{1,2}}\.\d{{1,2}})$') THEN coalesce(abs({PARSE.format(tok='nxt')}) >= 100 * TRY_CAST(trim(tok) AS DOUBLE), false) ELSE false END AS note FROM ({PAIRS})""")
+def p17(spark, sf):
+    return _pairs(spark, sf).select("id", N.is_note_ref(F.col("tok"), F.col("nxt"), F.lit("Inventories")).alias("note"))
+
+
+@query("p18_page_ref", rf"""SELECT id, regexp_matches(trim(tok), '^\d{{1,3}}$') AND regexp_matches(trim(coalesce(nxt, '')), '[.,]') AND {PARSE.format(tok="coalesce(nxt, '')")} IS NOT NULL AS page_ref FROM ({PAIRS})""")
+def p18(spark, sf):
+    return _pairs(spark, sf).select("id", N.is_page_ref(F.col("tok"), F.col("nxt")).alias("page_ref"))
+
+
+@query("p23_tolerance", f"SELECT l_orderkey, l_linenumber, {_within('l_extendedprice', 'l_extendedprice * (1 + l_discount / 10)')} AS ok FROM lineitem")
+def p23(spark, sf):
+    a = F.col("l_extendedprice")
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", N.within(a, a * (1 + F.col("l_discount") / 10)).alias("ok"))
+
+
+def _clean_sql(x: str) -> str:
+    out = f"lower({x})"
+    for pattern, to in T.CLEANING:
+        out = f"regexp_replace({out}, {_lit(pattern)}, {_lit(to.replace('$', chr(92)))}, 'g')"
+    return f"trim({out})"
+
+
+@query("f2_clean_label", f"SELECT label, {_clean_sql('label')} AS cleaned FROM ({LABELS})")
+def f2(spark, sf):
+    return A.relation(spark, sf, A.LABELS).withColumn("cleaned", T.clean_label(F.col("label")))
+
+
+@query("f6_section_name", rf"SELECT label, trim(regexp_replace(regexp_replace(lower(label), '\([^)]*\)', ' ', 'g'), '^[\divxlc]+[.)]\s*', '')) AS section FROM ({LABELS})")
+def f6(spark, sf):
+    return A.relation(spark, sf, A.LABELS).withColumn("section", T.section_name(F.col("label")))
+
+
+DOCS = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+def _docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("p1_text_quality", f"SELECT doc_id, CASE WHEN length(trim(text)) < 50 THEN 'EMPTY' WHEN length(array_to_string(regexp_extract_all(text, '[A-Za-z]{{3,}}'), '')) / greatest(length(text), 1) > 0.3 THEN 'OK' ELSE 'SUSPECT' END AS quality FROM {DOCS}")
+def p1(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.text_quality(F.col("text")).alias("quality"))
+
+
+@query("p6_figure_count", rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '{T.FIGURE}')) AS INT) AS figures, CAST(len(list_distinct(regexp_extract_all(text, '\b(?:19|20)\d{{2}}\b'))) AS INT) AS years FROM {DOCS}")
+def p6(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.figure_count(F.col("text")).alias("figures"), T.distinct_years(F.col("text")).alias("years"))
+
+
+UNIT_TEXTS = ["(Rs. in Crores)", "(in Millions)", "USD in thousands", "Amounts in ₹ lakhs", "€ millions", "in europe", "$ million", "nothing here", "in crore", "rupees in thousand"]
+PERIOD_TEXTS = ["31 March 2025 and 31 March 2024", "as at 31 December 2025", "FY25 against FY24", "2025-03-31", "March 31, 2025", "for the year ended 1st Jan 2020, 1st Jan 2020, 2nd feb 2019"]
+
+
+@query("f7_detect_unit", "SELECT t AS text, " + ", ".join(
+    "CASE " + " ".join(f"WHEN regexp_matches(lower(t), {_lit(u[0])}) THEN {_lit(u[k]) if isinstance(u[k], str) else f'CAST({u[k]} AS DOUBLE)'}" for u in UNITS) + f" ELSE {default} END AS {name}"
+    for k, name, default in ((1, "unit", "'Units'"), (2, "currency", "'UNKNOWN'"), (3, "multiplier", "CAST(1 AS DOUBLE)"))) + f" FROM (VALUES {_values((t,) for t in UNIT_TEXTS)}) AS v(t)")
+def f7(spark, sf):
+    return spark.createDataFrame([(t,) for t in UNIT_TEXTS], "text string").withColumn("u", T.detect_unit(F.col("text"))).select("text", "u.unit", "u.currency", "u.multiplier")
+
+
+@query("f8_detect_periods", f"""
+SELECT t AS text, CASE WHEN len(d) = 0 THEN 'Current' ELSE d[1] END AS current, CASE WHEN len(d) = 0 THEN 'Prior' ELSE d[2] END AS prior
+FROM (SELECT t, list_filter(a, lambda x, i: list_position(a, x) = i) AS d FROM (SELECT t, list_transform(regexp_extract_all(t, {_lit('(?i)' + PERIOD)}, 1), lambda x: trim(x)) AS a FROM (VALUES {_values((t,) for t in PERIOD_TEXTS)}) AS v(t)))""")
+def f8(spark, sf):
+    return spark.createDataFrame([(t,) for t in PERIOD_TEXTS], "text string").withColumn("p", T.detect_periods(F.col("text"))).select("text", "p.current", "p.prior")
+
+
+@query("k4_strip_controls", r"SELECT doc_id, length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS n FROM " + DOCS)
+def k4(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.length(T.strip_controls(F.col("text"))).cast("long").alias("n"))
+
+
+@query("f14_sheet_name", "SELECT doc, basis, CASE basis WHEN 'consolidated' THEN 'Consolidated' WHEN 'standalone' THEN 'Standalone' ELSE 'Financials' END AS sheet FROM (SELECT DISTINCT doc, basis FROM (" + OBS + "))")
+def f14(spark, sf):
+    return A.relation(spark, sf, A.OBS).select("doc", "basis").distinct().withColumn("sheet", T.sheet_name(F.col("basis")))
+
+
+@query("s7_page_spec", "SELECT DISTINCT spec, CAST(unnest(range(a, b + 1)) AS INT) AS page FROM (SELECT spec, CAST(split_part(part, '-', 1) AS INT) AS a, CAST(CASE WHEN contains(part, '-') THEN split_part(part, '-', 2) ELSE part END AS INT) AS b FROM (SELECT spec, unnest(string_split(spec, ',')) AS part FROM (VALUES ('180,181,184-185'), ('7'), ('1-3,2')) AS v(spec)))")
+def s7(spark, sf):
+    from .sources.readers import page_spec
+
+    return page_spec(spark.createDataFrame([("180,181,184-185",), ("7",), ("1-3,2",)], "spec string"))
+
+
+# --- similarity and matching -------------------------------------------------------------------------------------
+
+SORTED = "array_to_string(list_sort(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')), ' ')"
+SYNONYMS = "SELECT DISTINCT metric, metric_ord, " + _clean_sql("raw") + f" AS synonym FROM (VALUES {_values((m, n, s) for n, (m, _, _, _, syns) in enumerate(METRICS) for s in syns)}) AS v(metric, metric_ord, raw)"
+#: Normalised Indel by a recursive table: row i of the LCS programme as a list, built from row i - 1.
+LCS = """
+scored AS (
+  WITH RECURSIVE dp(label, synonym, x, y, i, r) AS (
+    SELECT label, synonym, x, y, 0, list_transform(range(length(y) + 1), lambda k: 0) FROM pairs
+    UNION ALL
+    SELECT label, synonym, x, y, i + 1, list_reduce(range(1, length(y) + 1), lambda made, j: list_append(made, CASE WHEN substr(x, i + 1, 1) = substr(y, CAST(j AS INT), 1) THEN r[j] + 1 ELSE greatest(r[j + 1], made[len(made)]) END), [0]) FROM dp WHERE i < length(x))
+  SELECT label, synonym, CAST(200 AS DOUBLE) * r[len(r)] / (length(x) + length(y)) AS score FROM dp WHERE i = length(x))"""
+
+
+@query("f3_token_sort_ratio", f"""
+WITH pairs AS (SELECT label, synonym, {SORTED.format(x='label')} AS x, {SORTED.format(x='synonym')} AS y FROM (SELECT DISTINCT {_clean_sql('label')} AS label FROM ({LABELS}) WHERE label NOT LIKE '%(%' ) CROSS JOIN (SELECT DISTINCT synonym FROM ({SYNONYMS}) WHERE metric = 'total_assets' OR metric = 'net_profit') WHERE label <> ''), {LCS}
+SELECT label, synonym, round(score, 6) AS score FROM scored""")
+def f3(spark, sf):
+    labels = A.relation(spark, sf, A.LABELS).where("label NOT LIKE '%(%'").select(T.clean_label(F.col("label")).alias("label")).distinct().where("label <> ''")
+    syn = normalize.synonyms(spark).where("metric IN ('total_assets', 'net_profit')").select("synonym").distinct()
+    return labels.crossJoin(F.broadcast(syn)).withColumn("score", F.round(S.token_sort_ratio(F.col("label"), F.col("synonym")), 6))
+
+
+VETO = "((starts_with(label, 'other ') AND NOT contains(synonym, 'other')) OR (len(list_intersect(string_split(label, ' '), ['before', 'after'])) > 0 AND len(list_intersect(string_split(synonym, ' '), ['before', 'after'])) > 0 AND list_contains(string_split(label, ' '), 'before') <> list_contains(string_split(synonym, ' '), 'before')))"
+BEST = f"""
+WITH syn AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY synonym) AS syn_ord FROM ({SYNONYMS})),
+pairs AS (SELECT label, synonym, {SORTED.format(x='label')} AS x, {SORTED.format(x='synonym')} AS y FROM (SELECT DISTINCT {_clean_sql('label')} AS label FROM ({LABELS})) CROSS JOIN (SELECT DISTINCT synonym FROM syn)
+  WHERE length(label) >= 3 AND 200 * least(length({SORTED.format(x='label')}), length({SORTED.format(x='synonym')})) >= 88 * (length({SORTED.format(x='label')}) + length({SORTED.format(x='synonym')}))), {LCS},
+ranked AS (SELECT label, metric, score, synonym, row_number() OVER (PARTITION BY label ORDER BY score DESC, metric_ord, syn_ord) AS n FROM scored JOIN syn USING (synonym) WHERE score >= 88)
+SELECT label, metric, round(score, 6) AS score, synonym FROM ranked WHERE n = 1 AND NOT {VETO}"""
+
+
+@query("j2_best_synonym", BEST)
+def j2(spark, sf):
+    labels = A.relation(spark, sf, A.LABELS).select(T.clean_label(F.col("label")).alias("label"))
+    return normalize.best_synonym(labels, normalize.synonyms(spark)).withColumn("score", F.round("score", 6))
+
+
+@query("p21_p22_vetoes", f"SELECT label, synonym, {VETO} AS veto FROM (VALUES ('other current liabilities', 'total current liabilities'), ('other income', 'other income'), ('net profit after minority interest', 'net profit before minority interest'), ('profit before tax', 'profit before income tax'), ('total assets', 'total assets')) AS v(label, synonym)")
+def p21(spark, sf):
+    rows = [("other current liabilities", "total current liabilities"), ("other income", "other income"), ("net profit after minority interest", "net profit before minority interest"), ("profit before tax", "profit before income tax"), ("total assets", "total assets")]
+    return spark.createDataFrame(rows, "label string, synonym string").withColumn("veto", normalize.vetoed(F.col("label"), F.col("synonym")))
+
+
+@query("u5_synonyms", f"SELECT metric, CAST(metric_ord AS INT) AS metric_ord, synonym, CAST(row_number() OVER (PARTITION BY metric ORDER BY synonym) AS INT) AS syn_ord FROM ({SYNONYMS})")
+def u5(spark, sf):
+    return normalize.synonyms(spark)
+
+
+@query("u2_statement_metrics", f"SELECT * FROM (VALUES {_values([(home, m, True) for m, home, *_ in METRICS] + [(c, m, False) for m, _, also, *_ in METRICS for c in also])}) AS v(code, metric, is_home)")
+def u2(spark, sf):
+    return normalize.statement_metrics(spark)
+
+
+# --- proofs ------------------------------------------------------------------------------------------------------
+
+CONSENSUS = "SELECT doc, basis, metric, median(value) AS v, count(*) AS n, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM ({obs}) GROUP BY doc, basis, metric"
+
+
+@query("a1_consensus_median", f"SELECT doc, metric, round(v, 4) AS value, n, sources FROM ({CONSENSUS.format(obs=VOTES)})")
+def a1(spark, sf):
+    c = prove.consensus(A.relation(spark, sf, A.VOTES))
+    return c.select("doc", "metric", F.round("value", 4).alias("value"), "n", F.array_join("sources", ", ").alias("sources"))
+
+
+@query("a2_voting", f"WITH o AS ({VOTES}), c AS ({CONSENSUS.format(obs=VOTES)}) SELECT doc, metric, bool_and({_within('o.value', 'c.v')}) AS vote FROM o JOIN c USING (doc, basis, metric) WHERE n > 1 GROUP BY doc, metric")
+def a2(spark, sf):
+    return prove.consensus(A.relation(spark, sf, A.VOTES)).where("n > 1").select("doc", "metric", "vote")
+
+
+@query("a7_best_observation", f"WITH o AS ({VOTES}), c AS ({CONSENSUS.format(obs=VOTES)}) SELECT doc, metric, page FROM (SELECT doc, metric, page, row_number() OVER (PARTITION BY doc, metric ORDER BY abs(o.value - c.v), seq) AS k FROM o JOIN c USING (doc, basis, metric)) WHERE k = 1")
+def a7(spark, sf):
+    return prove.consensus(A.relation(spark, sf, A.VOTES)).select("doc", "metric", "page")
+
+
+def _checks_sql() -> str:
+    """(doc, basis, ord, chk, ok, metric) of all identities and ties, from wide rows w."""
+    parts = []
+    plus = " + ".join
+    for n, (name, lhs, rhs, optional) in enumerate(IDENTITIES, 1):
+        def ties(members, lhs=lhs):
+            out = _within(plus(lhs), plus(members))
+            for m in [m for m in members if m in SIGN_AMBIGUOUS]:
+                out = f"({out} OR ({m} < 0 AND {_within(plus(lhs), plus(members) + f' - 2 * {m}')}))"
+            return out
+
+        there = " AND ".join(f"{m} IS NOT NULL" for m in lhs + rhs)
+        wide = f"coalesce({ties(rhs + optional)}, false)" if optional else "false"
+        ok = f"({wide} OR {ties(rhs)})"
+        parts += [f"SELECT doc, basis, {n} AS ord, '{name}' AS chk, {ok} AS ok, '{m}' AS metric FROM w WHERE {there}" for m in lhs + rhs]
+        parts += [f"SELECT doc, basis, {n}, '{name}', {ok}, '{m}' FROM w WHERE {there} AND {m} IS NOT NULL AND ({wide} OR NOT {ok})" for m in optional]
+    parts += [f"SELECT doc, basis, {n}, '{name}', {_within(a, b)}, '{m}' FROM w WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for n, (name, a, b) in enumerate(TIES, 100) for m in (a, b)]
+    return " UNION ALL ".join(parts)
+
+
+WIDE = "SELECT doc, basis, " + ", ".join(f"max(v) FILTER (WHERE metric = '{m}') AS {m}" for m in METRIC_NAMES) + " FROM c GROUP BY doc, basis"
+VERDICTS = f"""
+WITH o AS ({{obs}}), c AS ({CONSENSUS.format(obs='SELECT * FROM o')}), w AS ({WIDE}), k AS ({_checks_sql()}
+  UNION ALL SELECT doc, basis, 0, 'cross_extractor_voting', bool_and({_within('o.value', 'c.v')}), metric FROM o JOIN c USING (doc, basis, metric) WHERE n > 1 GROUP BY doc, basis, metric),
+best AS (SELECT doc, basis, metric, arg_min(page, (abs(value - v), seq)) AS page FROM o JOIN c USING (doc, basis, metric) GROUP BY doc, basis, metric),
+names AS (SELECT doc, basis, metric FROM c UNION SELECT doc, basis, metric FROM w CROSS JOIN (VALUES {_values((m,) for m in EXPECTED)}) AS e(metric)),
+lists AS (SELECT doc, basis, metric, string_agg(chk, '; ' ORDER BY ord) FILTER (WHERE ok) AS passed, string_agg(chk, '; ' ORDER BY ord) FILTER (WHERE NOT ok) AS failed FROM k GROUP BY doc, basis, metric),
+verdict AS (SELECT doc, basis, metric, CASE WHEN c.v IS NULL THEN 'MISSING' WHEN failed IS NOT NULL THEN 'FLAGGED' WHEN passed IS NOT NULL THEN 'VERIFIED' ELSE 'PROBABLE' END AS status,
+  c.v AS value, coalesce(sources, '') AS sources, page, coalesce(passed, '') AS passed, coalesce(failed, '') AS failed
+  FROM names LEFT JOIN c USING (doc, basis, metric) LEFT JOIN lists USING (doc, basis, metric) LEFT JOIN best USING (doc, basis, metric))"""
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    lists = [F.array_join(c, sep).alias(c) for c, sep in (("sources", ", "), ("passed", "; "), ("failed", "; "))]
+    return df.select("doc", "basis", "metric", "status", F.round("value", 4).alias("value"), "page", *lists)
+
+
+FLAT = "SELECT doc, basis, metric, status, round(value, 4) AS value, page, sources, passed, failed FROM "
+
+
+def _verdicts(spark, sf, adapter: str = A.OBS) -> DataFrame:
+    return prove.validate(A.relation(spark, sf, adapter))
+
+
+@query("o9_validate", VERDICTS.format(obs=OBS) + FLAT + "verdict")
+def o9(spark, sf):
+    return _flat(_verdicts(spark, sf))
+
+
+@query("o9_validate_votes", VERDICTS.format(obs=VOTES) + FLAT + "verdict WHERE status <> 'MISSING'")
+def o9v(spark, sf):
+    return _flat(_verdicts(spark, sf, A.VOTES).where("status <> 'MISSING'"))
+
+
+@query("o9_validate_status_counts", VERDICTS.format(obs=OBS) + "SELECT metric, status, count(*) AS n FROM verdict GROUP BY metric, status")
+def o9c(spark, sf):
+    return _verdicts(spark, sf).groupBy("metric", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _check_query(name: str, chk: str):
+    @query(name, VERDICTS.format(obs=OBS) + f"SELECT doc, basis, bool_and(ok) AS ok, count(*) AS n_metrics FROM k WHERE chk = '{chk}' GROUP BY doc, basis")
+    def run(spark, sf):
+        v = _verdicts(spark, sf)
+        hit = v.where(F.array_contains("passed", chk) | F.array_contains("failed", chk))
+        return hit.groupBy("doc", "basis").agg(F.bool_and(F.array_contains("passed", chk)).alias("ok"), F.count(F.lit(1)).alias("n_metrics"))
+
+
+for _name, _chk in (("a3_identity_sums", "balance_sheet_identity"), ("a4_sign_ambiguous", "net_profit_buildup"), ("a5_optional_fx", "cash_flow_total"), ("j6_cash_tie", "closing_cash_ties_to_balance_sheet"), ("j5_identity_terms", "assets_composition")):
+    _check_query(_name, _chk)
+
+
+@query("a9_status_rule", VERDICTS.format(obs=OBS) + "SELECT doc, basis, metric, status FROM verdict WHERE status <> 'MISSING'")
+def a9(spark, sf):
+    return _verdicts(spark, sf).where("status <> 'MISSING'").select("doc", "basis", "metric", "status")
+
+
+@query("j8_missing_antijoin", VERDICTS.format(obs=OBS) + "SELECT doc, basis, metric FROM verdict WHERE status = 'MISSING'")
+def j8(spark, sf):
+    return _verdicts(spark, sf).where("status = 'MISSING'").select("doc", "basis", "metric")
+
+
+def _derive_sql() -> str:
+    m = [f"max({c}) FILTER (WHERE metric = '{x}') AS {c[0]}_{x}" for x in METRIC_NAMES for c in ("value", "status", "page")]
+    rows = []
+    for n, (target, formula) in enumerate(DERIVATIONS):
+        trusted = " AND ".join(f"s_{x} IN ('VERIFIED', 'PROBABLE')" for x, _ in formula)
+        unproven = " + ".join(f"CAST(s_{x} <> 'VERIFIED' AS INT)" for x, _ in formula)
+        value = " ".join(f"{'+' if s > 0 else '-'} v_{x}" for x, s in formula)
+        expr = " || ".join(_lit((("- " if s < 0 else "+ ") if k else "") + x + "[") + f" || substr(s_{x}, 1, 1) || ']'" + (" || ' '" if k < len(formula) - 1 else "") for k, (x, s) in enumerate(formula))
+        rows.append(f"SELECT doc, basis, '{target}' AS metric, {n} AS ord, {unproven} AS unproven, {value} AS dv, p_{formula[0][0]} AS dp, {expr} AS expr FROM vw WHERE {trusted}")
+    return f""", vw AS (SELECT doc, basis, {', '.join(m)} FROM verdict GROUP BY doc, basis),
+cand AS ({' UNION ALL '.join(rows)}), pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, basis, metric ORDER BY unproven, ord) AS k FROM cand) WHERE k = 1),
+derived AS (SELECT doc, basis, metric, CASE WHEN good THEN 'DERIVED' ELSE status END AS status, CASE WHEN good THEN dv ELSE value END AS value, CASE WHEN good THEN 'derived' ELSE sources END AS sources,
+  CASE WHEN good THEN dp ELSE page END AS page, CASE WHEN good THEN 'derived: ' || expr ELSE passed END AS passed,
+  CASE WHEN status = 'MISSING' AND dv <= 0 THEN concat_ws('; ', nullif(failed, ''), 'derivation discarded (non-positive): ' || expr) ELSE failed END AS failed
+  FROM (SELECT v.*, p.dv, p.dp, p.expr, coalesce(v.status = 'MISSING' AND p.dv > 0, false) AS good FROM verdict v LEFT JOIN pick p USING (doc, basis, metric)))"""
+
+
+DERIVED = VERDICTS + _derive_sql().replace("{", "{{").replace("}", "}}")
+
+
+@query("o10_derive", DERIVED.format(obs=OBS) + FLAT + "derived")
+def o10(spark, sf):
+    return _flat(prove.derive(_verdicts(spark, sf)))
+
+
+# --- reports -----------------------------------------------------------------------------------------------------
+
+
+@query("a11_scorecard_rollup", DERIVED.format(obs=OBS) + "SELECT doc, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower()}" for s in ("FLAGGED", "MISSING", "DERIVED", "VERIFIED", "PROBABLE")) + " FROM derived GROUP BY ROLLUP (doc)")
+def a11(spark, sf):
+    return report.scorecard(prove.derive(_verdicts(spark, sf)))
+
+
+@query("a10_status_pivot", VERDICTS.format(obs=OBS) + "SELECT basis, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower()}" for s in ("VERIFIED", "PROBABLE", "FLAGGED", "MISSING")) + " FROM verdict GROUP BY basis")
+def a10(spark, sf):
+    names = ["VERIFIED", "PROBABLE", "FLAGGED", "MISSING"]
+    wide = _verdicts(spark, sf).groupBy("basis").pivot("status", names).agg(F.count(F.lit(1)))
+    return wide.select("basis", *[F.coalesce(n, F.lit(0)).alias(n.lower()) for n in names])
+
+
+GRADE = "CASE WHEN extracted IS NULL THEN 'MISSING' WHEN golden = 0 THEN CASE WHEN abs(extracted) < 1e-9 THEN 'CORRECT' ELSE 'WRONG' END WHEN abs(extracted / golden - 1) <= 0.01 THEN 'CORRECT' WHEN abs(extracted / golden + 1) <= 0.01 THEN 'SIGN' WHEN extracted / golden > 0 AND abs(log10(extracted / golden) - round_even(log10(extracted / golden), 0)) < 0.01 AND round_even(log10(extracted / golden), 0) <> 0 THEN 'SCALE' ELSE 'WRONG' END"
+GRADED = VERDICTS.format(obs=OBS) + f", graded AS (SELECT doc, metric, golden, extracted, status, {GRADE} AS grade FROM (SELECT g.doc, g.metric, CAST(g.golden AS DOUBLE) AS golden, v.value AS extracted, v.status FROM ({GOLDEN}) g LEFT JOIN verdict v ON g.doc = v.doc AND g.metric = v.metric))"
+
+
+def _graded(spark, sf):
+    return report.graded(A.relation(spark, sf, A.GOLDEN).withColumn("golden", F.col("golden").cast("double")), _verdicts(spark, sf))
+
+
+@query("f9_grade", GRADED + "SELECT doc, metric, grade FROM graded")
+def f9(spark, sf):
+    return _graded(spark, sf).select("doc", "metric", "grade")
+
+
+@query("j11_golden_join", GRADED + "SELECT doc, metric, round(extracted, 4) AS extracted, status, grade FROM graded")
+def j11(spark, sf):
+    return _graded(spark, sf).select("doc", "metric", F.round("extracted", 4).alias("extracted"), "status", "grade")
+
+
+@query("a12_golden_scorecard", GRADED + "SELECT doc, " + ", ".join(f"count(*) FILTER (WHERE grade = '{g}') AS {g.lower()}" for g in ("CORRECT", "SCALE", "SIGN", "WRONG", "MISSING")) + ", count(*) FILTER (WHERE status = 'VERIFIED' AND grade <> 'CORRECT') AS verified_wrong FROM graded GROUP BY ROLLUP (doc)")
+def a12(spark, sf):
+    return report.golden_scorecard(_graded(spark, sf))
+
+
+ORDERED = f"(VALUES {_values(enumerate(METRIC_NAMES))}) AS m(metric_ord, metric)"
+
+
+@query("j9_side_by_side", f"""
+WITH b AS ({BASES}), d AS (SELECT DISTINCT doc FROM b)
+SELECT d.doc, CAST(m.metric_ord AS INT) AS metric_ord, m.metric, c.value AS consolidated_value, coalesce(c.status, 'MISSING') AS consolidated_status, c.page + 1 AS consolidated_page,
+  s.value AS standalone_value, coalesce(s.status, 'MISSING') AS standalone_status, s.page + 1 AS standalone_page, round(c.value - s.value, 4) AS difference
+FROM d CROSS JOIN {ORDERED} LEFT JOIN b c ON c.doc = d.doc AND c.metric = m.metric AND c.basis = 'consolidated' LEFT JOIN b s ON s.doc = d.doc AND s.metric = m.metric AND s.basis = 'standalone'""")
+def j9(spark, sf):
+    return report.side_by_side(A.relation(spark, sf, A.BASES)).withColumn("difference", F.round("difference", 4))
+
+
+@query("k2_metric_sheet", DERIVED.format(obs=OBS) + f"""
+SELECT s.doc, s.basis, CAST(m.metric_ord AS INT) AS metric_ord, m.metric, coalesce(v.status, 'MISSING') AS status, round(v.value, 4) AS value, v.page + 1 AS page, v.sources, v.passed, v.failed,
+  CASE coalesce(v.status, 'MISSING') {' '.join(f"WHEN '{k}' THEN '{c}'" for k, c in report.FILLS.items())} END AS fill
+FROM (SELECT DISTINCT doc, basis FROM derived) s CROSS JOIN {ORDERED} LEFT JOIN derived v ON v.doc = s.doc AND v.basis = s.basis AND v.metric = m.metric""")
+def k2(spark, sf):
+    return report.metric_sheet(prove.derive(_verdicts(spark, sf))).withColumn("value", F.round("value", 4))
+
+
+@query("k6_console_order", VERDICTS.format(obs=OBS) + "SELECT doc, metric, status, row_number() OVER (PARTITION BY doc, basis ORDER BY CASE status WHEN 'FLAGGED' THEN 0 WHEN 'MISSING' THEN 1 WHEN 'DERIVED' THEN 2 WHEN 'VERIFIED' THEN 3 ELSE 4 END, metric) AS place FROM verdict")
+def k6(spark, sf):
+    return report.console_order(_verdicts(spark, sf)).selectExpr("doc", "metric", "status", "CAST(row_number() OVER (PARTITION BY doc, basis ORDER BY status_ord, metric) AS BIGINT) AS place")
+
+
+@query("k7_report_json")
+def k7(spark, sf):
+    return report.report_json(_verdicts(spark, sf))
+
+
+@query("j15_row_match", f"WITH a AS (SELECT lower(trim(tok)) AS t FROM ({TOKENS}) WHERE id % 2 = 0), b AS (SELECT DISTINCT lower(trim(tok)) AS t FROM ({TOKENS}) WHERE id % 2 = 1), n AS (SELECT count(*) AS n_b FROM ({TOKENS}) WHERE id % 2 = 1) SELECT (SELECT count(*) FROM a) AS n_a, n_b, (SELECT count(*) FROM a WHERE t IN (SELECT t FROM b)) AS matched, (SELECT count(*) FROM a WHERE t IN (SELECT t FROM b)) / greatest((SELECT count(*) FROM a), n_b) AS accuracy FROM n")
+def j15(spark, sf):
+    rows = A.relation(spark, sf, A.TOKENS).select("id", F.lit("row").alias("label"), F.array("tok").alias("values"))
+    return report.row_match(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
+
+
+# --- layout ------------------------------------------------------------------------------------------------------
+
+LINED = f"SELECT *, sum(new) OVER (PARTITION BY doc, page ORDER BY top, x0, word_idx) AS line_no FROM (SELECT *, CASE WHEN abs(top - lag(top) OVER (PARTITION BY doc, page ORDER BY top, x0, word_idx)) <= 2.5 THEN 0 ELSE 1 END AS new FROM ({A.WORDS_SQL}))"
+
+
+@query("w1_line_groups", f"SELECT doc, page, line_no, count(*) AS n, min(word_idx) AS first_word, max(word_idx) AS last_word FROM ({LINED}) GROUP BY doc, page, line_no")
+def w1(spark, sf):
+    lined = layout.line_numbers(A.words(spark, sf), layout.PAGE)
+    return lined.groupBy("doc", "page", "line_no").agg(F.count(F.lit(1)).alias("n"), F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"))
+
+
+@query("w2_line_text", f"SELECT doc, page, line_no, string_agg(text, ' ' ORDER BY x0, word_idx) AS text FROM ({LINED}) GROUP BY doc, page, line_no")
+def w2(spark, sf):
+    lined = layout.lines(layout.line_numbers(A.words(spark, sf), layout.PAGE), layout.PAGE)
+    return lined.select("doc", "page", "line_no", layout.line_text(F.col("toks")).alias("text"))
+
+
+@query("p2_upright", f"SELECT doc, page, count(*) FILTER (WHERE upright OR keep) AS n FROM (SELECT *, sum(CAST(upright AS INT)) OVER (PARTITION BY doc, page) * 2 < count(*) OVER (PARTITION BY doc, page) AS keep FROM ({A.WORDS_SQL})) GROUP BY doc, page")
+def p2(spark, sf):
+    return layout.upright_words(A.words(spark, sf)).groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n"))
+
+
+HIST = f"SELECT doc, page, CAST(bin AS INT) AS bin, count(*) AS n_words FROM (SELECT doc, page, unnest(range(CAST(least(199, greatest(0, floor(x0 / page_width * 200))) AS INT), CAST(least(199, greatest(0, floor(x1 / page_width * 200))) AS INT) + 1)) AS bin FROM ({A.WORDS_SQL})) GROUP BY doc, page, bin"
+
+
+@query("a14_gutter_histogram", HIST)
+def a14(spark, sf):
+    return layout.gutter_histogram(A.words(spark, sf))
+
+
+GUTTER = f"""SELECT doc, page, arg_min(bin, (abs(bin + 0.5 - 100), bin)) FILTER (WHERE free) AS bin FROM (
+  SELECT s.doc, s.page, b.bin, coalesce(h.n_words, 0) <= greatest(1, s.n * 0.01) AS free FROM (SELECT doc, page, count(*) AS n FROM ({A.WORDS_SQL}) GROUP BY doc, page) s CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(70, 130)) b LEFT JOIN ({HIST}) h ON h.doc = s.doc AND h.page = s.page AND h.bin = b.bin) GROUP BY doc, page"""
+
+
+@query("t3_gutter_pick", f"SELECT doc, page, bin, (bin + 0.5) / 200 * CAST(600 AS DOUBLE) AS gutter FROM ({GUTTER})")
+def t3(spark, sf):
+    return layout.gutters(A.words(spark, sf))
+
+
+@query("o2_two_up", f"""
+WITH w AS ({A.WORDS_SQL}), g AS ({GUTTER}), h AS (SELECT w.*, coalesce((x0 + x1) / 2 > (bin + 0.5) / 200 * page_width, false) AS r, regexp_matches(text, '\\p{{L}}') AS alpha, bin FROM w LEFT JOIN g USING (doc, page)),
+s AS (SELECT doc, page, count(*) AS n, max(bin) AS bin, count(*) FILTER (WHERE r) AS nr, count(*) FILTER (WHERE NOT r) AS nl, count(*) FILTER (WHERE r AND alpha) AS ar, count(*) FILTER (WHERE NOT r AND alpha) AS al FROM h GROUP BY doc, page),
+k AS (SELECT doc, page, n >= 20 AND bin IS NOT NULL AND least(nl, nr) >= 0.2 * greatest(nl, nr) AND least(nl, nr) > 0 AND al >= 0.3 * nl AND ar >= 0.3 * nr AS ok FROM s)
+SELECT doc, page, CAST(CASE WHEN ok AND r THEN 1 ELSE 0 END AS INT) AS half, count(*) AS n FROM h JOIN k USING (doc, page) GROUP BY ALL""")
+def o2(spark, sf):
+    return layout.split_two_up(A.words(spark, sf)).groupBy("doc", "page", "half").agg(F.count(F.lit(1)).alias("n"))
