@@ -122,3 +122,23 @@ SELECT concat('d', CAST(doc_id AS VARCHAR)) AS doc, CAST(i // 400 AS INT) AS pag
   i % 10 <> 9 AS upright, CAST(600 AS DOUBLE) AS page_width, CAST(400 AS DOUBLE) AS page_height
 FROM (SELECT doc_id, unnest(parts) AS text, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS parts FROM documents WHERE text IS NOT NULL))
 """
+
+PAGES = """
+SELECT concat('c', CAST(o_custkey AS VARCHAR(20))) AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS page,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS logical_idx,
+  concat(t.title, chr(10), CASE WHEN k % 4 = 0 THEN 'Total Assets ' ELSE 'Total income ' END, a.n, ' ', a.n, chr(10), CASE WHEN k % 3 = 0 THEN 'Current liabilities ' ELSE 'Profit before tax ' END, a.n, chr(10),
+    CASE WHEN k % 5 < 3 THEN 'cash from operating activities and investing activities ' ELSE 'reserves and surplus ' END, a.n, ' ', a.n, chr(10),
+    CASE WHEN k % 7 < 5 THEN concat(a.n, ' ', a.n, ' ', a.n, '.25') ELSE '2019 2020 2021 2022 2023 2024 2025 1999 1998 1997' END, CASE WHEN k % 11 = 0 THEN ' Standalone and Consolidated' ELSE '' END) AS text,
+  k % 2 = 0 AS verified
+FROM (SELECT o_orderkey, o_custkey, o_orderkey + o_custkey AS k, CAST(100000 + CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR(20)) AS m FROM {orders}) AS o
+JOIN (SELECT o_orderkey AS ok, concat(CAST(100000 + CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR(20)), '') AS n FROM {orders}) AS a ON a.ok = o.o_orderkey
+JOIN (VALUES (0, 'Consolidated Balance Sheet'), (1, 'Standalone Balance Sheet'), (2, 'BAL ANCE SHEET of the Group'), (3, 'Statement of Profit and Loss'), (4, 'We refer to the balance sheet date and the income statement'), (5, 'Condensed Balance Sheet'), (6, 'Cash Flow Statement'), (7, 'Consolidated Income Statement'), (8, 'Notes')) AS t(id, title) ON t.id = o.k % 9
+"""
+
+ROWS = """
+SELECT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS doc, 0 AS page, 0 AS half, CAST(l_linenumber * 8 + w.i AS INT) AS word_idx,
+  CASE w.i WHEN 0 THEN 'Item' WHEN 1 THEN concat('part', CAST(l_partkey % 7 AS VARCHAR(20))) WHEN 2 THEN CASE l_partkey % 3 WHEN 0 THEN '−' WHEN 1 THEN '12' ELSE 'x' END
+    WHEN 3 THEN concat(CAST(l_partkey AS VARCHAR(20)), ',', '500') ELSE CASE l_partkey % 4 WHEN 0 THEN '1,234' WHEN 1 THEN '-' WHEN 2 THEN 'abc' ELSE '(77)' END END AS text,
+  CAST(40 * w.i AS DOUBLE) AS x0, CAST(40 * w.i + CASE WHEN l_partkey % 2 = 0 THEN 38 ELSE 5 END AS DOUBLE) AS x1, CAST(12 * l_linenumber AS DOUBLE) + CASE WHEN w.i = 4 THEN 1 ELSE 0 END AS top
+FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS l CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS w(i)
+"""

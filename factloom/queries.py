@@ -11,8 +11,9 @@ from . import adapters as A
 from .functions import numbers as N
 from .functions import similarity as S
 from .functions import text as T
-from .operators import layout, normalize, prove, report
-from .plans.dims import DERIVATIONS, EXPECTED, IDENTITIES, METRIC_NAMES, METRICS, PERIOD, SIGN_AMBIGUOUS, TIES, UNITS
+from .operators import layout, lines, locate, normalize, prove, report
+from .plans import corpus, pipeline
+from .plans.dims import DERIVATIONS, EXPECTED, IDENTITIES, METRIC_NAMES, METRICS, PERIOD, SIGN_AMBIGUOUS, SIGNATURES, TIES, UNITS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -459,3 +460,116 @@ k AS (SELECT doc, page, n >= 20 AND bin IS NOT NULL AND least(nl, nr) >= 0.2 * g
 SELECT doc, page, CAST(CASE WHEN ok AND r THEN 1 ELSE 0 END AS INT) AS half, count(*) AS n FROM h JOIN k USING (doc, page) GROUP BY ALL""")
 def o2(spark, sf):
     return layout.split_two_up(A.words(spark, sf)).groupBy("doc", "page", "half").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- lines -------------------------------------------------------------------------------------------------------
+
+ROWS, PAGES = A.oracle(A.ROWS), A.oracle(A.PAGES)
+ROW_LINED = f"SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY top, x0, word_idx) AS line_no FROM (SELECT *, CASE WHEN abs(top - lag(top) OVER (PARTITION BY doc ORDER BY top, x0, word_idx)) <= 2.5 THEN 0 ELSE 1 END AS new FROM ({ROWS}))"
+MERGED = f"""SELECT doc, line_no, word_idx, x0, x1, CASE WHEN joins THEN '-' || nxt ELSE text END AS text FROM (
+  SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc, line_no ORDER BY x0, word_idx), false) AS taken FROM (
+    SELECT *, coalesce(text IN ('−', '–', '—') AND {IS_NUMERIC.format(t='nxt')} AND nx - x1 <= 4.0, false) AS joins FROM (
+      SELECT *, lead(text) OVER (PARTITION BY doc, line_no ORDER BY x0, word_idx) AS nxt, lead(x0) OVER (PARTITION BY doc, line_no ORDER BY x0, word_idx) AS nx FROM ({ROW_LINED})))) WHERE NOT taken"""
+
+
+def _merged(spark, sf):
+    return layout.merge_minus(layout.line_numbers(A.relation(spark, sf, A.ROWS)))
+
+
+@query("w3_minus_merge", f"SELECT doc, line_no, word_idx, text, x0 FROM ({MERGED})")
+def w3(spark, sf):
+    return _merged(spark, sf).select("doc", "line_no", "word_idx", "text", "x0")
+
+
+SPLIT = f"""SELECT doc, line_no, array_to_string(list_transform(toks[1:cut], lambda t: t.text), ' ') AS label, array_to_string(list_transform(toks[cut + 1:], lambda t: t.text), '|') AS nums
+FROM (SELECT *, coalesce(list_max(list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN {IS_NUMERIC.format(t='toks[i].text')} OR toks[i].text IN ('-', '−', '–', '—') THEN 0 ELSE i END)), 0) AS cut
+FROM (SELECT doc, line_no, list(struct_pack(x0 := x0, text := text) ORDER BY x0, word_idx) AS toks FROM ({MERGED}) GROUP BY doc, line_no))"""
+
+
+@query("w4_tail_split", SPLIT)
+def w4(spark, sf):
+    s = lines.split_label(layout.lines(_merged(spark, sf)))
+    return s.select("doc", "line_no", "label", F.array_join(F.transform("nums", lambda t: t["text"]), "|").alias("nums"))
+
+
+@query("w9_raw_items", f"SELECT doc, line_no AS item_seq, label, nums AS values FROM ({SPLIT}) WHERE label <> '' AND nums <> ''")
+def w9(spark, sf):
+    items = lines.raw_items(layout.lines(_merged(spark, sf)))
+    return items.select("doc", "item_seq", "label", F.array_join("values", "|").alias("values"))
+
+
+# --- locator -----------------------------------------------------------------------------------------------------
+
+
+def _score_sql() -> str:
+    strip = lambda p: _lit(p.replace(" ", ""))
+    parts = []
+    for code, (titles, cues) in SIGNATURES.items():
+        title = " + ".join(f"CAST(regexp_matches(t, {_lit(p)}) OR regexp_matches(replace(t, ' ', ''), {strip(p)}) AS INT)" for p in titles)
+        cue = " + ".join(f"CAST(regexp_matches(t, {_lit(p)}) AS INT)" for p in cues)
+        heads = " OR ".join(f"CASE WHEN regexp_matches(x, {_lit(p)}) THEN len(list_filter(string_split_regex(regexp_extract(x, {_lit('^(.*?)(?:' + p + ')')}, 1), '\\s+'), lambda w: w <> '')) <= 2 ELSE regexp_matches(replace(x, ' ', ''), {strip(p)}) END" for p in titles)
+        parts.append(f"SELECT doc, page, logical_idx, verified, t, '{code}' AS code, {title} AS title, {cue} AS cues, list_filter(heads, lambda x: {heads})[1] AS first_line FROM p")
+    return f"""WITH p AS (SELECT doc, page, logical_idx, verified, lower(text) AS t, list_filter(list_transform(string_split(trim(lower(text)), chr(10))[1:6], lambda x: trim(x)), lambda x: x <> '') AS heads FROM ({PAGES})),
+s AS ({' UNION ALL '.join(parts)}),
+h AS (SELECT *, CASE WHEN NOT regexp_matches(first_line, 'condensed|summaris|summariz|abridged') THEN first_line END AS line, len(regexp_extract_all(t, {_lit(T.FIGURE)})) AS figures, len(list_distinct(regexp_extract_all(t, {_lit(chr(92) + 'b(?:19|20)' + chr(92) + 'd{2}' + chr(92) + 'b')}))) AS years FROM s),
+scored AS (SELECT doc, page, logical_idx, verified, t, code, CASE WHEN o THEN CAST(0 AS DOUBLE) ELSE CAST(3 * title + CASE WHEN line IS NOT NULL THEN 5 ELSE 0 END + cues AS DOUBLE) + least(figures, 30) * CAST(0.1 AS DOUBLE) END AS score,
+  CASE WHEN o THEN 'unknown' WHEN regexp_matches(line, 'consolidated|\\bgroup\\b') THEN 'consolidated' WHEN regexp_matches(line, 'standalone|\\bseparate\\b') THEN 'standalone' WHEN contains(t, 'consolidated') THEN 'consolidated' WHEN contains(t, 'standalone') OR contains(t, 'separate financial') THEN 'standalone' ELSE 'unknown' END AS basis,
+  NOT o AND line IS NOT NULL AS headed FROM (SELECT *, title = 0 OR cues < 2 OR figures < 8 OR years >= CASE WHEN line IS NOT NULL THEN 10 ELSE 6 END AS o FROM h)),
+tier AS (SELECT * FROM (SELECT *, max(CAST(headed AS INT)) OVER (PARTITION BY doc, code) AS top FROM scored WHERE score > 0) WHERE CAST(headed AS INT) = top),
+pool AS (SELECT * FROM (SELECT *, bool_or(basis = 'consolidated') OVER (PARTITION BY doc, code) AS any_c FROM tier) WHERE NOT any_c OR basis = 'consolidated'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc, code ORDER BY verified DESC, score DESC, logical_idx) AS n, row_number() OVER (PARTITION BY doc, code ORDER BY score DESC, logical_idx) AS by_score FROM pool),
+prim AS (SELECT d.doc, d.code, coalesce(r.basis, 'unknown') AS basis, r.page, r.logical_idx, coalesce(r.score, 0) AS score FROM (SELECT DISTINCT doc, code FROM scored) d LEFT JOIN (SELECT * FROM ranked WHERE n = 1) r USING (doc, code)),
+want AS (SELECT doc, code, CASE basis WHEN 'consolidated' THEN 'standalone' WHEN 'standalone' THEN 'consolidated' END AS w, page AS pp, logical_idx AS pi, score AS ps FROM prim),
+alt AS (SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY t.doc, t.code ORDER BY verified DESC, t.score DESC, t.logical_idx) AS n FROM tier t JOIN want ON t.doc = want.doc AND t.code = want.code AND t.basis = w AND t.logical_idx IS DISTINCT FROM pi) WHERE n = 1),
+other AS (SELECT want.doc, want.code, coalesce(w, 'none') AS basis, coalesce(a.page, CASE WHEN same THEN pp END) AS page, coalesce(a.logical_idx, CASE WHEN same THEN pi END) AS logical_idx, coalesce(a.score, CASE WHEN same THEN ps END, 0) AS score
+  FROM want LEFT JOIN alt a USING (doc, code) LEFT JOIN (SELECT doc, logical_idx, true AS same FROM p WHERE (contains(t, 'standalone') OR contains(t, 'separate')) AND (contains(t, 'consolidated') OR contains(t, 'group'))) b ON b.doc = want.doc AND b.logical_idx = want.pi AND want.w IS NOT NULL)
+"""
+
+
+def _scored(spark, sf):
+    pages = A.relation(spark, sf, A.PAGES)
+    return pages, locate.score_pages(pages).join(pages.select("doc", "page", "verified"), ["doc", "page"])
+
+
+SCORES = _score_sql()
+
+
+@query("o3_page_score", SCORES + "SELECT doc, logical_idx, code, round(score, 4) AS score, basis, headed FROM scored")
+def o3(spark, sf):
+    return _scored(spark, sf)[1].select("doc", "logical_idx", "code", F.round("score", 4).alias("score"), "basis", "headed")
+
+
+@query("t2_verified_first", SCORES + "SELECT doc, code, basis, page, logical_idx, round(score, 4) AS score FROM ranked WHERE n = 1")
+def t2(spark, sf):
+    return locate.pick(_scored(spark, sf)[1]).withColumn("score", F.round("score", 4))
+
+
+@query("o5_locate", SCORES + "SELECT doc, code, basis, page, logical_idx, round(score, 4) AS score FROM prim")
+def o5(spark, sf):
+    return locate.locate(_scored(spark, sf)[1]).select("doc", "code", "basis", "page", "logical_idx", F.round("score", 4).alias("score"))
+
+
+@query("o6_alternate", SCORES + "SELECT doc, code, basis, page, logical_idx, round(score, 4) AS score FROM other")
+def o6(spark, sf):
+    pages, scored = _scored(spark, sf)
+    out = locate.locate_alternate(scored, locate.locate(scored), pages)
+    return out.select("doc", "code", "basis", "page", "logical_idx", F.round("score", 4).alias("score"))
+
+
+@query("p26_any_located", SCORES + "SELECT doc, bool_or(page IS NOT NULL) AS located FROM prim GROUP BY doc")
+def p26(spark, sf):
+    return locate.locate(_scored(spark, sf)[1]).groupBy("doc").agg(F.bool_or(F.col("page").isNotNull()).alias("located"))
+
+
+# --- the whole plan over the synthetic corpus (checked against hand-written answers in the tests) ------------------
+
+
+@query("o7_line_parser")
+def o7(spark, sf):
+    halved = layout.split_two_up(corpus.statement_words(spark))
+    return lines.raw_items(layout.lines(layout.merge_minus(layout.line_numbers(halved))))
+
+
+@query("o13_pipeline")
+def o13(spark, sf):
+    return pipeline.run(corpus.statement_words(spark))
