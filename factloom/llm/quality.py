@@ -77,10 +77,10 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _with_bins(idx, x, at, stats, edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Adds each text's binned statistics to its words."""
     n, k = stats.shape
-    bins = np.stack([np.searchsorted(edges[s], stats[:, s], side="right") for s in range(k)], axis=1) if n else np.zeros((0, k), np.int64)
+    bins = np.stack([np.searchsorted(edges[s], stats[:, s], side="left") for s in range(k)], axis=1) if n else np.zeros((0, k), np.int64)
     where = np.repeat(at[1:], k)
     idx = np.insert(idx, where, (WORDS + np.arange(k) * BINS + bins).ravel())
-    return idx, np.insert(x, where, 0.5), at + np.arange(n + 1) * k
+    return idx, np.insert(x, where, 1.0), at + np.arange(n + 1) * k
 
 
 def raw_scores(m: Machine, idx, x, at) -> tuple[np.ndarray, np.ndarray]:
