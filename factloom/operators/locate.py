@@ -20,27 +20,29 @@ def score_pages(pages: DataFrame, signatures=SIGNATURES, head_lines: int = 6) ->
 
     Signatures are folded into expressions, one array entry a statement, so pages are scanned once and nothing joins.
     """
-    t = F.lower("text")
-
-    def scored(code: str, titles: list[str], cues: list[str]) -> Column:
-        title, cue, figures = _hits(t, titles, search), _hits(t, cues), figure_count(t)
-        heads = F.filter(F.transform(F.slice(F.split(F.trim(t), "\n"), 1, head_lines), lambda x: F.trim(x)), lambda x: x != "")
-        line = F.get(F.filter(heads, lambda x: is_heading(x, titles)), F.lit(0))
-        line = F.when(~line.rlike("condensed|summaris|summariz|abridged"), line)
-        headed = line.isNotNull()
-        out = (title == 0) | (cue < 2) | (figures < 8) | (distinct_years(t) >= F.when(headed, 10).otherwise(6))
-        basis = (
-            F.when(line.rlike(r"consolidated|\bgroup\b"), "consolidated")
-            .when(line.rlike(r"standalone|\bseparate\b"), "standalone")
-            .when(t.contains("consolidated"), "consolidated")
-            .when(t.contains("standalone") | t.contains("separate financial"), "standalone")
-            .otherwise("unknown")
-        )
-        score = 3.0 * title + F.when(headed, 5).otherwise(0) + cue + F.least(figures, F.lit(30)) * 0.1
-        return F.struct(F.lit(code).alias("code"), F.when(out, 0.0).otherwise(score).alias("score"), F.when(out, "unknown").otherwise(basis).alias("basis"), F.when(out, False).otherwise(headed).alias("headed"))
-
-    rows = F.explode(F.array(*[scored(c, *s) for c, s in signatures.items()])).alias("s")
-    return pages.select("doc", "page", "logical_idx", rows).select("doc", "page", "logical_idx", "s.*")
+    t = F.col("t")
+    base = pages.select("doc", "page", "logical_idx", F.lower("text").alias("t"))
+    base = base.withColumns({"figures": figure_count(t), "years": distinct_years(t), "heads": F.filter(F.transform(F.slice(F.split(F.trim(t), "\n"), 1, head_lines), lambda x: F.trim(x)), lambda x: x != "")})
+
+    def found(code: str, titles: list[str], cues: list[str]) -> Column:
+        line = F.get(F.filter("heads", lambda x: is_heading(x, titles)), F.lit(0))
+        return F.struct(F.lit(code).alias("code"), _hits(t, titles, search).alias("title"), _hits(t, cues).alias("cues"), line.alias("line"))
+
+    rows = F.explode(F.array(*[found(c, *s) for c, s in signatures.items()])).alias("s")
+    rows = base.select("doc", "page", "logical_idx", "t", "figures", "years", rows).select("*", "s.*")  # what follows reads finished columns
+    rows = rows.withColumn("line", F.when(~F.col("line").rlike("condensed|summaris|summariz|abridged"), F.col("line")))
+    line, headed = F.col("line"), F.col("line").isNotNull()
+    out = (F.col("title") == 0) | (F.col("cues") < 2) | (F.col("figures") < 8) | (F.col("years") >= F.when(headed, 10).otherwise(6))
+    basis = (
+        F.when(line.rlike(r"consolidated|\bgroup\b"), "consolidated")
+        .when(line.rlike(r"standalone|\bseparate\b"), "standalone")
+        .when(t.contains("consolidated"), "consolidated")
+        .when(t.contains("standalone") | t.contains("separate financial"), "standalone")
+        .otherwise("unknown")
+    )
+    score = 3.0 * F.col("title") + F.when(headed, 5).otherwise(0) + F.col("cues") + F.least("figures", F.lit(30)) * 0.1
+    rows = rows.withColumn("out", out)
+    return rows.select("doc", "page", "logical_idx", "code", F.when(F.col("out"), 0.0).otherwise(score).alias("score"), F.when(F.col("out"), "unknown").otherwise(basis).alias("basis"), (~F.col("out") & headed).alias("headed"))
 
 
 def pick(scored: DataFrame, want: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
