@@ -573,3 +573,130 @@ def o7(spark, sf):
 @query("o13_pipeline")
 def o13(spark, sf):
     return pipeline.run(corpus.statement_words(spark))
+
+
+# --- smaller operators by themselves -----------------------------------------------------------------------------
+
+
+@query("p3_nonempty_pages", f"SELECT doc, logical_idx FROM ({PAGES}) WHERE length(trim(text)) >= 50")
+def p3(spark, sf):
+    return A.relation(spark, sf, A.PAGES).where(T.text_quality(F.col("text")) != "EMPTY").select("doc", "logical_idx")
+
+
+@query("p7_kerning_search", f"SELECT doc, logical_idx, regexp_matches(lower(text), 'balance sheet') OR regexp_matches(replace(lower(text), ' ', ''), 'balancesheet') AS found FROM ({PAGES})")
+def p7(spark, sf):
+    return A.relation(spark, sf, A.PAGES).select("doc", "logical_idx", T.search(F.lower("text"), "balance sheet").alias("found"))
+
+
+FIRST = f"SELECT doc, logical_idx, lower(string_split(text, chr(10))[1]) AS line FROM ({PAGES})"
+
+
+@query("p8_heading", f"SELECT doc, logical_idx, CASE WHEN regexp_matches(line, 'balance sheet') THEN len(list_filter(string_split_regex(regexp_extract(line, '^(.*?)(?:balance sheet)', 1), '\\s+'), lambda w: w <> '')) <= 2 ELSE regexp_matches(replace(line, ' ', ''), 'balancesheet') END AS heading FROM ({FIRST})")
+def p8(spark, sf):
+    line = F.lower(F.get(F.split("text", "\n"), F.lit(0)))
+    return A.relation(spark, sf, A.PAGES).select("doc", "logical_idx", T.is_heading(line, ["balance sheet"]).alias("heading"))
+
+
+CUES = {c: s[1] for c, s in SIGNATURES.items()}
+
+
+@query("p14_continuation", f"SELECT doc, logical_idx, (regexp_matches(lower(text), {_lit('|'.join(CUES['CF']))})) AND len(regexp_extract_all(lower(text), {_lit(T.FIGURE)})) >= 8 AS continues FROM ({PAGES})")
+def p14(spark, sf):
+    t = F.lower("text")
+    return A.relation(spark, sf, A.PAGES).select("doc", "logical_idx", (t.rlike("|".join(CUES["CF"])) & (T.figure_count(t) >= 8)).alias("continues"))
+
+
+@query("p27_name_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('Red')) AND NOT starts_with(p_name, '_')")
+def p27(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").where(F.lower("p_name").contains("red") & ~F.col("p_name").startswith("_")).select("p_partkey", "p_name")
+
+
+@query("p28_title_heading", "SELECT r_name AS text, len(string_split_regex(trim(r_name), '\\s+')) <= 5 AND r_name = upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) AND NOT regexp_matches(r_name, '\\d') AS heading FROM (SELECT r_name FROM region UNION ALL SELECT lower(r_name) FROM region UNION ALL SELECT upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) FROM region WHERE r_name NOT LIKE '% %')")
+def p28(spark, sf):
+    spark_sql = "SELECT r_name AS text FROM {region} UNION ALL SELECT lower(r_name) FROM {region} UNION ALL SELECT concat(upper(substr(r_name, 1, 1)), lower(substr(r_name, 2))) FROM {region} WHERE r_name NOT LIKE '% %'"
+    return A.relation(spark, sf, spark_sql).withColumn("heading", T.is_title_heading(F.col("text")))
+
+
+@query("p29_by_status", VERDICTS.format(obs=OBS) + "SELECT doc, metric FROM verdict WHERE status = 'FLAGGED'")
+def p29(spark, sf):
+    return _verdicts(spark, sf).where("status = 'FLAGGED'").select("doc", "metric")
+
+
+@query("a13_page_profile", f"SELECT doc, count(*) FILTER (WHERE q = 'OK') AS ok, count(*) FILTER (WHERE q = 'SUSPECT') AS suspect, count(*) FILTER (WHERE q = 'EMPTY') AS empty, round_even(avg(CAST(verified AS INT)), 2) AS landscape FROM (SELECT *, CASE WHEN length(trim(text)) < 50 THEN 'EMPTY' WHEN length(array_to_string(regexp_extract_all(text, '[A-Za-z]{{3,}}'), '')) / greatest(length(text), 1) > 0.3 THEN 'OK' ELSE 'SUSPECT' END AS q FROM ({PAGES})) GROUP BY doc")
+def a13(spark, sf):
+    return report.page_profile(A.relation(spark, sf, A.PAGES).select("doc", T.text_quality(F.col("text")).alias("quality"), F.col("verified").alias("landscape")))
+
+
+@query("a18_x_columns", f"SELECT doc, count(DISTINCT round_even(x0 / 50, 0) * 50) AS columns FROM ({ROWS}) WHERE regexp_matches(replace(text, '.', ''), '^\\d+$') GROUP BY doc")
+def a18(spark, sf):
+    return A.relation(spark, sf, A.ROWS).where(F.translate("text", ".", "").rlike(r"^\d+$")).groupBy("doc").agg(F.count_distinct(F.bround(F.col("x0") / 50) * 50).alias("columns"))
+
+
+@query("a6_sources", f"SELECT doc, metric, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM ({VOTES}) GROUP BY doc, metric")
+def a6(spark, sf):
+    return prove.consensus(A.relation(spark, sf, A.VOTES)).select("doc", "metric", F.array_join("sources", ", ").alias("sources"))
+
+
+@query("w14_logical_pages", f"SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc ORDER BY page) - 1 AS INT) AS logical_idx, string_agg(text, ' ' ORDER BY word_idx) AS text FROM ({A.WORDS_SQL}) GROUP BY doc, page")
+def w14(spark, sf):
+    return layout.logical_pages(A.words(spark, sf).withColumn("half", F.lit(0))).select("doc", "page", "logical_idx", "text")
+
+
+@query("t1_candidate_rank", SCORES + "SELECT doc, code, logical_idx, by_score AS place FROM ranked")
+def t1(spark, sf):
+    scored = _scored(spark, sf)[1].where("score > 0")
+    top = scored.selectExpr("*", "max(headed) OVER (PARTITION BY doc, code) AS tier").where("headed = tier")
+    pool = top.selectExpr("*", "bool_or(basis = 'consolidated') OVER (PARTITION BY doc, code) AS any").where("NOT any OR basis = 'consolidated'")
+    return pool.selectExpr("doc", "code", "logical_idx", "CAST(row_number() OVER (PARTITION BY doc, code ORDER BY score DESC, logical_idx) AS BIGINT) AS place")
+
+
+@query("t6_text_sample", f"SELECT doc, string_agg(text, chr(10) ORDER BY page) AS sample FROM ({PAGES}) WHERE page < 15 GROUP BY doc")
+def t6(spark, sf):
+    pages = F.array_sort(F.collect_list(F.struct("page", "text")))
+    return A.relation(spark, sf, A.PAGES).where("page < 15").groupBy("doc").agg(F.array_join(F.transform(pages, lambda p: p["text"]), "\n").alias("sample"))
+
+
+@query("j12_range_filter", f"SELECT w.doc, w.word_idx, r.basis FROM ({ROWS}) w JOIN (VALUES ('standalone', 0.0, 100.0), ('consolidated', 100.0, 9999.0)) AS r(basis, a, b) ON w.x0 BETWEEN r.a AND r.b WHERE {IS_NUMERIC.format(t='w.text')}")
+def j12(spark, sf):
+    ranges = F.array(*[F.struct(F.lit(n).alias("basis"), F.lit(a).alias("x0"), F.lit(b).alias("x1")) for n, a, b in (("standalone", 0.0, 100.0), ("consolidated", 100.0, 9999.0))])
+    hit = F.filter(ranges, lambda r: (r["x0"] <= F.col("x0")) & (F.col("x0") <= r["x1"]))
+    return A.relation(spark, sf, A.ROWS).where(N.is_numeric(F.col("text"))).select("doc", "word_idx", F.explode(hit).alias("r")).select("doc", "word_idx", "r.basis")
+
+
+@query("j14_neighbour_pages", f"SELECT doc, logical_idx, lag(page) OVER (PARTITION BY doc ORDER BY logical_idx) IS NOT DISTINCT FROM page OR lead(page) OVER (PARTITION BY doc ORDER BY logical_idx) IS NOT DISTINCT FROM page AS same_page FROM (SELECT doc, logical_idx, page // 2 AS page FROM ({PAGES}))")
+def j14(spark, sf):
+    return A.relation(spark, sf, A.PAGES).selectExpr("doc", "logical_idx", "page div 2 AS page").selectExpr("doc", "logical_idx", "lag(page) OVER (PARTITION BY doc ORDER BY logical_idx) <=> page OR lead(page) OVER (PARTITION BY doc ORDER BY logical_idx) <=> page AS same_page")
+
+
+@query("f15_prior_values", f"SELECT doc, item_seq, nums[2:] AS prior FROM (SELECT doc, line_no AS item_seq, string_split(nums, '|') AS nums FROM ({SPLIT}) WHERE label <> '' AND nums <> '')".replace("nums[2:] AS prior", "array_to_string(nums[2:], '|') AS prior"))
+def f15(spark, sf):
+    items = lines.raw_items(layout.lines(_merged(spark, sf)))
+    return items.select("doc", "item_seq", F.array_join(F.slice("values", F.lit(2), F.size("values")), "|").alias("prior"))
+
+
+ITEM_SQL = f"SELECT 'd' || CAST(length(label) % 3 AS VARCHAR) AS doc, CASE length(label) % 2 WHEN 0 THEN 'PL' ELSE 'BS' END AS code, label, length(label) AS item_seq, 'current' AS side, CAST(length(label) * 1000 + 500 AS DOUBLE) AS value, {_clean_sql('label')} AS cleaned FROM ({LABELS}) WHERE label NOT LIKE '%representing%'"
+O8_SQL = f"""WITH b AS ({BEST}), i AS ({ITEM_SQL}), m AS (SELECT i.doc, i.code, b.metric, s.is_home, i.value, b.score, i.item_seq, i.label FROM i JOIN b ON b.label = i.cleaned JOIN (VALUES {_values([(home, m, True) for m, home, *_ in METRICS] + [(c, m, False) for m, _, also, *_ in METRICS for c in also])}) AS s(code, metric, is_home) ON s.code = i.code AND s.metric = b.metric)
+SELECT doc, code, metric, is_home, value, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, code, metric ORDER BY score DESC, item_seq, label) AS n FROM m) WHERE n = 1"""
+
+
+def _normalized(spark, sf):
+    items = A.relation(spark, sf, A.LABELS).where("label NOT LIKE '%representing%'").selectExpr(
+        "concat('d', length(label) % 3) AS doc", "'consolidated' AS basis", "CASE length(label) % 2 WHEN 0 THEN 'PL' ELSE 'BS' END AS code", "label", "0 AS page", "0 AS half", "length(label) AS item_seq", "'current' AS side",
+        "array(concat(CAST(length(label) AS STRING), ',500')) AS values")
+    return normalize.normalize(items)
+
+
+@query("o8_normalise", O8_SQL)
+def o8(spark, sf):
+    return _normalized(spark, sf).select("doc", "code", "metric", "is_home", "value", F.round("score", 6).alias("score"))
+
+
+@query("u3_home_precedence", f"SELECT doc, metric, code, value FROM (SELECT *, row_number() OVER (PARTITION BY doc, metric ORDER BY is_home DESC, code) AS k FROM ({O8_SQL})) WHERE k = 1")
+def u3(spark, sf):
+    return normalize.prefer_home(_normalized(spark, sf)).select("doc", "metric", "code", "value")
+
+
+@query("s9_line_scan", "SELECT page_id, n, CASE WHEN len(parts) > 1 THEN '_table' WHEN regexp_matches(line, '^[A-Z]') THEN '_heading' ELSE '_text' END AS kind, len(parts) AS cells FROM (SELECT page_id, n, line, string_split_regex(line, '>\\s*<') AS parts FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line, unnest(range(len(string_split(html, chr(10))))) AS n FROM pages))")
+def s9(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.posexplode(F.split("html", "\n")).alias("n", "line")).withColumn("cells", F.size(F.split("line", r">\s*<")))
+    return rows.select("page_id", F.col("n").cast("long").alias("n"), F.when(F.col("cells") > 1, "_table").when(F.col("line").rlike("^[A-Z]"), "_heading").otherwise("_text").alias("kind"), F.col("cells").cast("long").alias("cells"))
