@@ -20,7 +20,7 @@ LEVELS, SUBSETS = (1, 3, 5, 7, 9), 16
 #: Hexadecimal digits of a subset's hash.
 DIGITS = 6
 #: Rows that one sorted run of documents holds on average.
-RUN_ROWS = 2_000
+RUN_ROWS = 1_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -114,7 +114,7 @@ def edited_likeness(docs: DataFrame, band: np.ndarray) -> DataFrame:
 
     The edited text has its last n_chars // 4 code points replaced by the first as many (or all) of the next document's,
     in the order of doc_id (nulls first, equal ids by text; after the last row comes the first, for one row itself).
-    Rows are dealt to runs by doc_id; each run also gets the first row of the run that follows, so that texts are
+    Rows are dealt to runs by doc_id, and runs to partitions whose number follows the rows; each run also gets the first row of the run that follows, so that texts are
     shuffled once and no window spans all rows. An empty table gives no rows.
     """
     base = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("pos"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -162,7 +162,7 @@ def edited_likeness(docs: DataFrame, band: np.ndarray) -> DataFrame:
                 carry = part.slice(part.num_rows - 1)
                 yield pairs(part)
 
-    return rows.repartition(F.col("run")).sortWithinPartitions("run", "after", "pos", "text").mapInArrow(run, kind)
+    return rows.repartition(max(1, (ends.n or 0) // RUN_ROWS), "run").sortWithinPartitions("run", "after", "pos", "text").mapInArrow(run, kind)
 
 
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
