@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 #: Entries that a worker remembers in each of its tables; a full table starts anew.
 MEMORY = 600_000
 
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_PLAIN = re.compile("[\x03-ɏ]*")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PLAIN = re.compile("[\x03-\u024f]*")
 _BORDERED = re.compile("[\x02-\u024f]*")
 _JOINED_SPACE = re.compile(r" [ \t-\r]|[\t-\r] |^ | $")
 _CUTS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")

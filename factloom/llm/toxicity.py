@@ -26,12 +26,12 @@ EXCEPTIONS = ("trash can", "trash cans", "trash bin", "pond scum", "scum of the
 #: Look-alikes of Latin letters, and digits and signs that stand for letters. i, l and 1 are one class.
 _CYRILLIC, _FOR_CYRILLIC = "авекмнорстухіјѕԁԛԝһ", "abekmhopctyxijsdqwh"
 _GREEK, _FOR_GREEK = "αβεικνορτυχγ", "abeiknoptuxy"
-_SIGNS, _FOR_SIGNS = "0134578@$lıǀ€£", "oieastbasiiiel"
+_SIGNS, _FOR_SIGNS = "0134578@$lıǀ€£", "oieastbasiiiei"
 _WIDE = "".join(chr(0xFF41 + k) for k in range(26))
 _LATIN = "".join(chr(97 + k) for k in range(26)).replace("l", "i")
 _FROM, _TO = _CYRILLIC + _GREEK + _SIGNS + _WIDE, _FOR_CYRILLIC + _FOR_GREEK + _FOR_SIGNS + _LATIN
 #: Characters that show nothing: removed.
-_HIDDEN = "­​‌‍⁠﻿"
+_HIDDEN = "\xad\u200b\u200c\u200d\u2060\ufeff"
 _TABLE = str.maketrans(_FROM, _TO, _HIDDEN)
 
 
