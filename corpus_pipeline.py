@@ -13,14 +13,12 @@ from factloom.llm.packing import pack_documents
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (op5) accepts; it learns from labelled rows among them outside the held-out fold."""
-    machine = fm.learn(docs, read(spark, sf_dir, "labels"))
-    return fm.score_quality(docs, machine).where("predicted = 1").select(docs.columns)
+    return fm.accepted(docs, fm.learn(docs, read(spark, sf_dir, "labels")))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon (op7) does not reject."""
-    words = lexicon.learn(docs, read(spark, sf_dir, "labels"))
-    return lexicon.score_toxicity(docs, words).where("predicted = 0").select(docs.columns)
+    return lexicon.accepted(docs, lexicon.learn(docs, read(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

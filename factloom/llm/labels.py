@@ -21,3 +21,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(~held_out() & F.col("label").isin(0, 1))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def new_name(df: DataFrame, stem: str = "score") -> str:
+    """A column name that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold_case, read, span_hashes, spans, text_slices
-from .labels import held_out, training_rows
+from .labels import held_out, new_name, training_rows
 
 #: Labelled documents that the machine is fitted on, at most.
 SAMPLE = 8_000
@@ -156,12 +156,9 @@ def pc_flat(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate(chunks) if chunks else np.zeros(0)
 
 
-def score_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """Per row of docs: all its columns, then held_out, score (0 to 1) and predicted. A null text is scored as an empty one."""
+def with_score(docs: DataFrame, machine: Machine, column: str) -> DataFrame:
+    """docs with the score in a column that it does not have. A null text is scored as an empty one."""
     text, names = docs.columns.index("text"), docs.columns
-    own = [c for c in ("score", "predicted", "held_out") if c in names]
-    if own:
-        raise ValueError(f"columns clash with results: {own}")
 
     def run(batches):
         for b in batches:
@@ -169,12 +166,23 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) ->
                 idx, x, at = _with_bins(*features(data, offs), machine.edges)
                 z, _ = raw_scores(machine, idx, x, at)
                 part = b.slice(lo, len(offs) - 1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*names, column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+
 
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+def score_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """Per row of docs: its columns, then score (0 to 1) and predicted; columns of docs by these names are replaced."""
+    scored = with_score(docs.drop("score", "predicted"), machine, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def accepted(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with their own columns only, that the score does not reject."""
+    column = new_name(docs)
+    return with_score(docs, machine, column).where(F.col(column) >= threshold).select(docs.columns)
+
+
 def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, learn(docs, read(spark, sf_dir, "labels")))

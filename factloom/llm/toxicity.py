@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read, stage
-from .labels import held_out, training_rows
+from .labels import held_out, new_name, training_rows
 
 #: Labelled documents that lexicon and weights are learned from, at most.
 SAMPLE = 20_000
@@ -128,22 +128,31 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     return lexicon
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
-    """Per row of docs: all its columns, then score (0 to 1) and predicted. A null text is scored as an empty one."""
+def with_score(docs: DataFrame, lexicon: Lexicon, column: str) -> DataFrame:
+    """docs with the score in a column that it does not have. A null text is scored as an empty one."""
     text, names = docs.columns.index("text"), docs.columns
-    if own := [c for c in ("score", "predicted", "held_out") if c in names]:
-        raise ValueError(f"columns clash with results: {own}")
 
     def run(batches):
         automaton = lexicon.automaton()
         for b in batches:
             z = inputs([evidence(automaton, t or "") for t in b.column(text).to_pylist()]) @ lexicon.coefficients
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*names, column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+
 
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """Per row of docs: its columns, then score (0 to 1) and predicted; columns of docs by these names are replaced."""
+    scored = with_score(docs.drop("score", "predicted"), lexicon, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def accepted(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with their own columns only, that the score does not reject."""
+    column = new_name(docs)
+    return with_score(docs, lexicon, column).where(F.col(column) < threshold).select(docs.columns)
+
+
 def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, learn(docs, read(spark, sf_dir, "labels")))

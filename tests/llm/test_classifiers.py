@@ -46,6 +46,19 @@ def test_odd_rows_and_no_labels(spark, odd, none, labelled, kind):
         assert score(none, model).count() == 0
 
 
+@pytest.mark.parametrize("kind", [quality, toxicity])
+def test_clashing_columns(odd, labelled, kind):
+    from pyspark.sql import functions as F
+
+    more = odd.withColumns({"Score": F.lit("x"), "predicted": F.lit("y"), "held_out": F.lit("z"), "label": F.lit("w")})
+    model = kind.learn(*labelled)
+    got = kind.accepted(more, model)
+    assert got.columns == more.columns and all(r.predicted == "y" for r in got.collect())
+    score = kind.score_quality if kind is quality else kind.score_toxicity
+    assert all(r.predicted in (0, 1) for r in score(more, model).collect())
+    kind.learn(more, labelled[1])
+
+
 def test_folding_and_exceptions(spark):
     lex = toxicity.Lexicon({toxicity.fold("clown"): 5.0}, toxicity.EXCEPTIONS, None)
     a = lex.automaton()
