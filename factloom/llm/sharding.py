@@ -17,6 +17,8 @@ ROW_BYTES = 16
 CELLS = 1024
 #: A cut may miss its quota by this share of a shard's bytes to keep equal texts together.
 TOLERANCE = 0.0025
+#: Rows that the driver may fetch to place the cuts of one level.
+FETCH = 20_000
 #: Rows that are numbered by one window.
 CHUNK = 1_000
 
@@ -24,6 +26,7 @@ CHUNK = 1_000
 TIES = {"t0": ("crc", 22, 10), "t1": ("crc", 11, 11), "t2": ("crc", 0, 11), "t3": ("idh", 10, 10), "t4": ("idh", 0, 10)}
 
 
+
 @dataclass
 class Cut:
     """A node of shards [low, high); rows before `path`, in the order of `keys`, go to the left half."""
@@ -37,17 +40,17 @@ class Cut:
     def middle(self) -> int:
         return self.low + (self.high - self.low) // 2
 
-    def enter(self, key: str, cells: list[tuple[int, int]], quota: float) -> tuple[float, float]:
-        """Appends the cell that the quota falls into; the quota that is left in it, and its bytes."""
+    def enter(self, key: str, cells: list[tuple[int, int, int]], quota: float) -> tuple[float, float, int]:
+        """Appends the cell (of cell, bytes, rows) that the quota falls into; the quota left in it, its bytes and rows."""
         done, cells = 0, sorted(cells)
         self.keys.append(key)
-        for cell, size in cells:
+        for cell, size, rows in cells:
             if done + size > quota or cell == cells[-1][0]:
                 self.path.append(cell)
-                return quota - done, size
+                return quota - done, size, rows
             done += size
         self.path.append(0)
-        return 0.0, 0.0
+        return 0.0, 0.0, 0
 
     def here(self) -> Column:
         """Whether a row is of this node: nodes are known by their first shard."""
@@ -75,29 +78,45 @@ def kd_leaves(meta: DataFrame, dims: list[str], shards: int) -> DataFrame:
     rows = stage(meta.withColumn("node", F.lit(0)), "level")
     level, slack = [Cut(0, shards)], None
     while level := [n for n in level if n.high - n.low > 1]:
+        totals = [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")]
         cells = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("cell")) for d in dims])).alias("x")
-        sums: dict[int, dict[str, list[tuple[int, int]]]] = {n.low: {d: [] for d in dims} for n in level}
-        for r in rows.select("node", "size", cells).groupBy("node", "x.dim", "x.cell").agg(F.sum("size").alias("bytes")).collect():
+        sums: dict[int, dict[str, list[tuple[int, int, int]]]] = {n.low: {d: [] for d in dims} for n in level}
+        for r in rows.select("node", "size", cells).groupBy("node", "x.dim", "x.cell").agg(*totals).collect():
             if r.node in sums:
-                sums[r.node][r.dim].append((r.cell, r.bytes))
+                sums[r.node][r.dim].append((r.cell, r.bytes, r.rows))
         if slack is None:
-            slack = TOLERANCE * sum(b for _, b in sums[0][dims[0]]) / shards
+            slack = TOLERANCE * sum(b for _, b, _ in sums[0][dims[0]]) / shards
         left = {}
         for n in level:
-            width = {d: max((c for c, _ in x), default=0) - min((c for c, _ in x), default=0) for d, x in sums[n.low].items()}
+            width = {d: max((c for c, *_ in x), default=0) - min((c for c, *_ in x), default=0) for d, x in sums[n.low].items()}
             widest = max(dims, key=lambda d: (width[d], -dims.index(d)))
             found = sums[n.low][widest]
-            left[n.low] = n.enter(widest, found, sum(b for _, b in found) * (n.middle - n.low) / (n.high - n.low))
-        for tie in TIES:
-            todo = [n for n in level if min(left[n.low][0], left[n.low][1] - left[n.low][0]) > slack]
-            if not todo:
+            left[n.low] = n.enter(widest, found, sum(b for _, b, _ in found) * (n.middle - n.low) / (n.high - n.low))
+        open_ = lambda n: min(left[n.low][0], left[n.low][1] - left[n.low][0]) > slack
+        for at, tie in enumerate(TIES):
+            if not (todo := [n for n in level if open_(n)]):
                 break
-            got = rows.where(reduce(lambda a, b: a | b, [n.inside() for n in todo])).groupBy("node", F.col(tie).alias("cell")).agg(F.sum("size").alias("bytes")).collect()
+            within = rows.where(reduce(lambda a, b: a | b, [n.inside() for n in todo]))
+            # Few rows are fetched with all their ordinates at once; more are narrowed down by one ordinate a pass.
+            few = sum(left[n.low][2] for n in todo) <= FETCH
+            ties = list(TIES)[at:] if few else [tie]
+            got = within.groupBy("node", *ties).agg(*totals).collect()
             for n in todo:
-                left[n.low] = n.enter(tie, [(r.cell, r.bytes) for r in got if r.node == n.low], left[n.low][0])
+                own = [r for r in got if r.node == n.low]
+                for t in ties:
+                    if own and open_(n):
+                        by: dict[int, list[int]] = {}
+                        for r in own:
+                            cell = by.setdefault(r[t], [0, 0])
+                            cell[0] += r.bytes
+                            cell[1] += r.rows
+                        left[n.low] = n.enter(t, [(c, *v) for c, v in by.items()], left[n.low][0])
+                        own = [r for r in own if r[t] == n.path[-1]]
+            if few:
+                break
         move = F.col("node")
         for n in level:
-            quota, size = left[n.low]
+            quota, size, _ = left[n.low]
             n.path[-1] += quota > size / 2  # the nearer side of the last cell
             move = F.when(n.here() & ~n.before(), n.middle).otherwise(move)
         after = stage(rows.withColumn("node", move), "level")
