@@ -14,8 +14,10 @@ from .components import components
 
 #: Vectors that the centroids are fitted on, at most, and clusters, at most; both bound what the driver holds.
 SAMPLE, CLUSTERS = 32_768, 1024
-#: Vectors a cluster is meant to hold; clusters that each vector joins; members of a shard that one task holds on either side.
+#: Vectors a cluster is meant to hold; nearest groups of clusters that each vector may join in any case; members of a shard that one task holds on either side.
 CLUSTER_SIZE, OVERLAP, BLOCK = 600, 4, 2048
+#: Standard deviations of a partner's offset that routing allows for; part of a shard from which on a range is computed in full.
+SPREAD, DENSE = 1.5, 16
 #: Candidates for pruning (nearest, and spaced over all ranks), neighbours kept, and slack of the pruning rule.
 NEAREST, FAR, DEGREE, ALPHA = 24, 32, 40, 1.44
 #: Expansions before the range is walked; how far below the range the walk still goes.
@@ -48,11 +50,49 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def robust_pruned(x: np.ndarray) -> np.ndarray:
+def merged(c: np.ndarray, least: float) -> np.ndarray:
+    """Each centroid's group: centroids chained by cosines of least or more, which split one dense region between them."""
+    group = np.arange(len(c))
+    near = c @ c.T >= least
+    while True:
+        low = np.where(near, group[None, :], len(c)).min(axis=1)
+        low = np.minimum(low, group)
+        if (low == group).all():
+            return group
+        group = low
+
+
+def routes(x: np.ndarray, c: np.ndarray, group: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, group and whether it is the row's home, for all groups in which x's partners may be at home.
+
+    A vector at cosine least or more can lie in another cluster's cell only if the plane between both centroids is
+    within that radius, which decides on the OVERLAP nearest groups. Groups further down the order are joined where
+    the plane is within SPREAD standard deviations of such a vector's offset in a random direction.
+    """
+    radius = np.sqrt(max(0.0, 1 - least * least))
+    sims = x @ c.T
+    first = sims.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(c @ c.T, -1, 1)))[first]
+    gap = sims[np.arange(len(x)), first][:, None] - sims
+    names, at = np.unique(group, return_inverse=True)
+    best, can, likely = np.full((len(x), len(names)), -2.0), np.zeros((len(x), len(names)), bool), np.zeros((len(x), len(names)), bool)
+    for k, g in enumerate(at):
+        best[:, g] = np.maximum(best[:, g], sims[:, k])
+        can[:, g] |= gap[:, k] <= radius * apart[:, k] + 1e-9
+        likely[:, g] |= gap[:, k] <= radius * min(1.0, SPREAD / np.sqrt(x.shape[1])) * apart[:, k] + 1e-9
+    top = np.argsort(-best, axis=1, kind="stable")[:, :OVERLAP]
+    in_top = np.zeros_like(can)
+    np.put_along_axis(in_top, top, True, axis=1)
+    row, g = np.nonzero(likely | (can & in_top))
+    return row, names[g], g == at[first[row]]
+
+
+def robust_pruned(x: np.ndarray, skip: float | None = None) -> np.ndarray:
     """Neighbours of each vector (own index where there are fewer), and as many that have it as theirs.
 
     Candidates are the nearest vectors and others at ranks spaced as powers, which make the long edges of the graph.
-    They are gone through nearest first; of the nearest, what a kept one is clearly nearer to is left out.
+    They are gone through nearest first; of the nearest, what a kept one is clearly nearer to is left out. Where skip
+    is given, vectors whose range of that cosine takes up much of x choose none: range_search() computes them in full.
     """
     n = len(x)
     out = np.repeat(np.arange(n)[:, None], 2 * DEGREE, axis=1)
@@ -64,16 +104,20 @@ def robust_pruned(x: np.ndarray) -> np.ndarray:
         sims = x[lo : lo + 256] @ x.T
         rows = np.arange(len(sims))
         sims[rows, lo + rows] = -2
+        if skip is not None:
+            rows = np.flatnonzero((sims >= skip).sum(axis=1) * DENSE < n)
+            sims = sims[rows]
+            if not len(rows):
+                continue
         cand = np.argsort(-sims, axis=1, kind="stable")[:, ranks]
         far = 1 - np.take_along_axis(sims, cand, axis=1)
-        between = 1 - np.einsum("rid,rjd->rij", x[cand], x[cand])
+        between = 1 - np.matmul(x[cand], x[cand].transpose(0, 2, 1))
         alive, count = np.ones(cand.shape, dtype=bool), np.zeros(len(sims), np.int64)
         for j in range(len(ranks)):
-            take = alive[:, j] & (count < DEGREE)
-            who = rows[take]
-            out[lo + who, count[take]] = cand[take, j]
+            take = np.flatnonzero(alive[:, j] & (count < DEGREE))
+            out[lo + rows[take], count[take]] = cand[take, j]
             count[take] += 1
-            alive[who, :close] &= (ALPHA * between[who, j] > far[who])[:, :close]
+            alive[take, :close] &= (ALPHA * between[take, j] > far[take])[:, :close]
     source, place = np.nonzero(out[:, :DEGREE] != np.arange(n)[:, None])
     target = out[source, place]
     order = np.lexsort((place, target))
@@ -84,7 +128,10 @@ def robust_pruned(x: np.ndarray) -> np.ndarray:
 
 
 def range_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, least: float):
-    """Yields (query indices, found mask over x): greedy walks from the medoids and the query's own node, then a walk over all of the widened range."""
+    """Yields (query indices, found mask over x): greedy walks from the medoids and the query's own node, then a walk over all of the widened range.
+
+    A range that takes up much of x is computed in full, which is exact and costs less than walking it.
+    """
     n = len(x)
     for lo in range(0, len(queries), 256):
         q = queries[lo : lo + 256]
@@ -103,6 +150,10 @@ def range_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: n
             want = value > -2 if step < WALK else value >= least - SLACK
             some = want.any(axis=1)
             live, best, want = live[some], best[some], want[some]
+            dense = (sims[live] >= least).sum(axis=1) * DENSE >= n
+            if dense.any():
+                sims[live[dense]] = x[q[live[dense]]] @ x.T
+                live, best, want = live[~dense], best[~dense], want[~dense]
             if not len(live):
                 break
             r, c = np.nonzero(want)
@@ -118,11 +169,12 @@ def range_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: n
         yield q, sims >= least
 
 
-def _build(dim: int):
+def _build(dim: int, least: float):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
+        inner = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         ids = t.column("rep").to_numpy()
-        near = ids[robust_pruned(unit(t.column("embedding"), dim))]
+        near = ids[robust_pruned(unit(t.column("embedding"), dim), None if inner else least)]
         return pa.table({"rep": pa.array(ids), "near": pa.array(list(near), pa.list_(pa.int64()))})
 
     return run
@@ -166,20 +218,19 @@ def _search(dim: int, least: float):
     return run
 
 
-def _shards(vectors: DataFrame, dim: int, count: int) -> DataFrame:
-    """rep, copies, embedding, home, (cluster, i, j), block: every vector in its nearest clusters, large clusters as pairs of blocks."""
+def _shards(vectors: DataFrame, dim: int, count: int, least: float) -> DataFrame:
+    """rep, copies, embedding, home, (cluster, i, j), block: every vector in all groups of clusters that routes() names, large groups as pairs of blocks."""
     k = max(1, min(CLUSTERS, -(-count // CLUSTER_SIZE)))
     sample = vectors.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow().sort_by("rep")
     c = centroids(unit(sample.column("embedding"), dim), k)
-    overlap = min(OVERLAP, len(c))
+    group = merged(c, least)
 
     def route(batches):
         for b in batches:
-            sims = unit(b.column(2), dim) @ c.T
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
-            row = np.repeat(np.arange(len(top)), overlap)
-            cols = b.take(pa.array(row)).columns
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(top.ravel(), pa.int32()), pa.array(np.tile(np.arange(overlap) == 0, len(top)))], names=["rep", "copies", "embedding", "cluster", "home"])
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                row, cluster, home = routes(unit(part.column(2), dim), c, group, least)
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(cluster, pa.int32()), pa.array(home)], names=["rep", "copies", "embedding", "cluster", "home"])
 
     routed = stage(vectors.select("rep", "copies", "embedding").mapInArrow(route, "rep long, copies long, embedding array<float>, cluster int, home boolean"), "routed")
     large = routed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
@@ -191,10 +242,11 @@ def _shards(vectors: DataFrame, dim: int, count: int) -> DataFrame:
 def near_vectors(rows: DataFrame, least: float = 0.95) -> DataFrame:
     """Per row of rows (vec_id, embedding): vec_id, n_links, component_id, kept, by cosine in double precision.
 
-    Equal vectors become one class. Classes are dealt to their nearest clusters (OVERLAP each, centroids fitted on a
-    bounded sample). Each shard gives a robust-pruned adjacency list; a class's lists are united, and its links are
-    searched in its nearest shard from that shard's medoids, over the whole range. Every link found is checked by its
-    cosine; n_links counts vectors, copies included. Shards beyond BLOCK members are worked as pairs of blocks.
+    Equal vectors become one class. Classes are dealt by distance to groups of clusters (centroids fitted on a
+    bounded sample; those within the radius of each other make one group). Each shard gives a robust-pruned adjacency
+    list; a class's lists are united, and its links are searched in its nearest group from that shard's medoids, over
+    the whole range. Every link found is checked by its cosine; n_links counts vectors, copies included. Groups beyond
+    BLOCK members are worked as pairs of blocks.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
     component. Vectors of different lengths do not link. A null vec_id takes its class's component and is never kept.
@@ -205,8 +257,8 @@ def near_vectors(rows: DataFrame, least: float = 0.95) -> DataFrame:
     classes = stage(classes.where("rep is not null"), "classes")
     found = []
     for size in classes.groupBy(F.size("embedding").alias("dim")).count().orderBy("dim").collect():
-        shards = stage(_shards(classes.where(F.size("embedding") == size.dim), size.dim, size["count"]), "shards")
-        lists = shards.groupBy("cluster", "i", "j").applyInArrow(_build(size.dim), "rep long, near array<long>")
+        shards = stage(_shards(classes.where(F.size("embedding") == size.dim), size.dim, size["count"], least), "shards")
+        lists = shards.groupBy("cluster", "i", "j").applyInArrow(_build(size.dim, least), "rep long, near array<long>")
         lists = stage(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")
         found.append(shards.join(lists, "rep").groupBy("cluster", "i", "j").applyInArrow(_search(size.dim, least), "a long, b long, w long"))
     keyed = base.join(classes, "embedding", "left")

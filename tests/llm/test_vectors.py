@@ -1,4 +1,8 @@
+import os
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from factloom.llm import vectors
 
@@ -64,3 +68,26 @@ def test_odd_rows(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()), key=str)
     assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (None, 0, None, False)], key=str)
     assert vectors.near_vectors(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_hot_third_over_many_clusters(spark, monkeypatch, tmp_path):
+    """A third of the rows within 0.95 of each other, split over many centroids; VECTORS=120000 audits a large table."""
+    n = int(os.environ.get("VECTORS", 3000))
+    if "VECTORS" not in os.environ:
+        monkeypatch.setattr(vectors, "CLUSTER_SIZE", 30)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 64))
+    x[: n // 3] = x[0] + 0.2 * rng.normal(size=(n // 3, 64))
+    x[-n // 20 :] = x[n // 3 : n // 3 + n // 20] + 0.25 * rng.normal(size=(n // 20, 64))
+    x = x[rng.permutation(n)].astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.read.parquet(str(tmp_path / "v.parquet"))).collect()}
+    x = x.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, n, max(1, n // 2000))
+    exact = np.concatenate([(x[asked[k : k + 250]] @ x.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(asked), 250)])
+    found = np.array([got[k] for k in asked.tolist()])
+    few = exact < 100
+    print(f"recall {found.sum() / exact.sum():.4f} of {exact.sum()} links; of rows with few links {found[few].sum() / exact[few].sum():.4f} of {exact[few].sum()}")
+    assert (found <= exact).all()
+    assert found.sum() >= 0.97 * exact.sum() and found[few].sum() >= 0.9 * exact[few].sum()
