@@ -135,6 +135,18 @@ JOIN (SELECT o_orderkey AS ok, concat(CAST(100000 + CAST(round(o_totalprice * 10
 JOIN (VALUES (0, 'Consolidated Balance Sheet'), (1, 'Standalone Balance Sheet'), (2, 'BAL ANCE SHEET of the Group'), (3, 'Statement of Profit and Loss'), (4, 'We refer to the balance sheet date and the income statement'), (5, 'Condensed Balance Sheet'), (6, 'Cash Flow Statement'), (7, 'Consolidated Income Statement'), (8, 'Notes')) AS t(id, title) ON t.id = o.k % 9
 """
 
+
+def statement_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all statement pages (PAGES) as a page reader places them: a line of the text every 14 points, 5 points a letter."""
+    lines = relation(spark, sf_dir, PAGES).selectExpr("doc", "page", "posexplode(split(text, '\n')) AS (n, line)")
+    return lines.selectExpr("doc", "page", "n", "split(line, ' ') AS words").selectExpr("doc", "page", "n", "words", "posexplode(words) AS (k, text)").where("text <> ''").selectExpr(
+        "doc", "page", "600.0D AS page_width", "800.0D AS page_height", "n * 1000 + k AS word_idx", "text",
+        "20.0D + 5 * (k + length(array_join(slice(words, 1, k), ''))) AS x0",
+        "20.0D + 5 * (k + length(array_join(slice(words, 1, k + 1), ''))) AS x1",
+        "20.0D + 14 * n AS top", "true AS upright",
+    )
+
+
 ROWS = """
 SELECT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS doc, 0 AS page, 0 AS half, CAST(l_linenumber * 8 + w.i AS INT) AS word_idx,
   CASE w.i WHEN 0 THEN 'Item' WHEN 1 THEN concat('part', CAST(l_partkey % 7 AS VARCHAR(20))) WHEN 2 THEN CASE l_partkey % 3 WHEN 0 THEN '−' WHEN 1 THEN '12' ELSE 'x' END

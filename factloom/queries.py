@@ -12,7 +12,7 @@ from .functions import numbers as N
 from .functions import similarity as S
 from .functions import text as T
 from .operators import layout, lines, locate, normalize, prove, report
-from .plans import corpus, pipeline
+from .plans import pipeline
 from .plans.dims import DERIVATIONS, EXPECTED, IDENTITIES, METRIC_NAMES, METRICS, PERIOD, SIGN_AMBIGUOUS, SIGNATURES, TIES, UNITS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -561,18 +561,18 @@ def p26(spark, sf):
     return locate.locate(_scored(spark, sf)[1]).groupBy("doc").agg(F.bool_or(F.col("page").isNotNull()).alias("located"))
 
 
-# --- the whole plan over the synthetic corpus (checked against hand-written answers in the tests) ------------------
+# --- the whole plan over statement pages of all orders (the synthetic corpus with its answers is for the tests) -----
 
 
 @query("o7_line_parser")
 def o7(spark, sf):
-    halved = layout.split_two_up(corpus.statement_words(spark))
+    halved = layout.split_two_up(A.statement_words(spark, sf))
     return lines.raw_items(layout.lines(layout.merge_minus(layout.line_numbers(halved))))
 
 
 @query("o13_pipeline")
 def o13(spark, sf):
-    return pipeline.run(corpus.statement_words(spark))
+    return pipeline.run(A.statement_words(spark, sf))
 
 
 # --- smaller operators by themselves -----------------------------------------------------------------------------

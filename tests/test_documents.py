@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import adapters, queries
 from factloom.operators import layout, lines
 from factloom.plans import corpus, pipeline
 from factloom.sources import readers, writers
@@ -92,3 +93,18 @@ def test_empty_words(spark):
     empty = spark.createDataFrame([], readers.WORDS)
     assert lines.raw_items(layout.lines(layout.merge_minus(layout.line_numbers(layout.split_two_up(empty))))).count() == 0
     assert layout.gutters(empty.withColumn("x0", F.col("x0"))).count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_whole_tables_reach_the_line_parser_and_the_plan(spark):
+    pages = {(r.doc, r.page): r.text.split("\n") for r in adapters.relation(spark, SF, adapters.PAGES).collect()}
+    got = {(r.doc, r.page, r.item_seq): (r.label, r["values"]) for r in queries.QUERIES["o7_line_parser"](spark, SF).collect()}
+    for (doc, page), text in pages.items():
+        *label, a, b = text[1].split(" ")
+        assert (" ".join(label), [a, b]) in [v for (d, p, _), v in got.items() if (d, p) == (doc, page)]
+    verdicts = queries.QUERIES["o13_pipeline"](spark, SF).select("doc").distinct()
+    assert {r.doc for r in verdicts.collect()} <= {doc for doc, _ in pages}
+    assert verdicts.count() > 50
+    spark.catalog.clearCache()
