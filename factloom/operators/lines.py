@@ -17,15 +17,14 @@ def tail_start(toks: Column) -> Column:
 
 
 def split_label(lines: DataFrame) -> DataFrame:
-    """Adds label and nums; a closing fragment of the label's open parenthesis moves back to it (twice at most)."""
+    """Adds label and nums; closing fragments of the label's open parentheses move back to it, one for each."""
     out = lines.withColumn("cut", tail_start(F.col("toks")))
     out = out.withColumns({"label": F.trim(line_text(F.slice("toks", F.lit(1), F.col("cut")))), "nums": F.slice("toks", F.col("cut") + 1, F.size("toks"))})
-    for _ in range(2):
-        count = lambda ch: F.length("label") - F.length(F.replace("label", F.lit(ch), F.lit("")))
-        first = F.get("nums", F.lit(0))["text"]
-        back = F.coalesce((count("(") > count(")")) & first.rlike(r"^[^()]*\)$"), F.lit(False))
-        out = out.withColumn("back", back)
-        out = out.withColumns({"label": F.when(F.col("back"), F.concat_ws(" ", "label", first)).otherwise(F.col("label")), "nums": F.when(F.col("back"), F.slice("nums", F.lit(2), F.size("nums"))).otherwise(F.col("nums"))})
+    count = lambda ch: F.length("label") - F.length(F.replace("label", F.lit(ch), F.lit("")))
+    other = F.array_min(F.transform("nums", lambda t, i: F.when(~F.coalesce(t["text"].rlike(r"^[^()]*\)$"), F.lit(False)), i)))
+    out = out.withColumn("back", F.greatest(F.lit(0), F.least(F.coalesce(other, F.size("nums")), count("(") - count(")"))))
+    moved = F.transform(F.slice("nums", F.lit(1), F.col("back")), lambda t: t["text"])
+    out = out.withColumns({"label": F.concat_ws(" ", "label", moved), "nums": F.slice("nums", F.col("back") + 1, F.size("nums"))})
     return out.drop("cut", "back")
 
 

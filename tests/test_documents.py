@@ -95,6 +95,13 @@ def test_empty_words(spark):
     assert layout.gutters(empty.withColumn("x0", F.col("x0"))).count() == 0
 
 
+def test_many_closing_fragments_move_back(spark):
+    texts = [["A", "(b", "(c", "(d", "1)", "2)", "3)", "7"], ["A", "(b", "1)", "2)", "7"], ["A", "7", "8"], ["A", "(b", "7", "1)"]]
+    df = spark.createDataFrame([(n, [(10.0 * k, k, w, 10.0 * k + 5) for k, w in enumerate(t)]) for n, t in enumerate(texts)], "n int, toks array<struct<x0: double, word_idx: int, text: string, x1: double>>")
+    got = [(r.label, [t.text for t in r.nums]) for r in lines.split_label(df).orderBy("n").collect()]
+    assert got == [("A (b (c (d 1) 2) 3)", ["7"]), ("A (b 1)", ["2)", "7"]), ("A", ["7", "8"]), ("A (b", ["7", "1)"])]
+
+
 SF = "/root/testdata/sf0.001"
 
 
