@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text is worked on in slices of about this many bytes, so that a worker's memory does not follow the Arrow batch.
 SLICE_BYTES = 1 << 20
@@ -28,29 +31,64 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where none is set, as in tests, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session may lack it, as in tests; it then gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Paths of staged tables, a list for each scratch() that is open.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that stage() writes within are removed at the end; those that keep() writes last until the scope around it ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+def stage(df: DataFrame, name: str, scope: int = -1) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}/{name}"
+    if len(_scopes) >= -scope:
+        _scopes[scope].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
     return out
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """stage() for what is read after the innermost scratch() has ended."""
+    return stage(df, name, -2)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Removes a table written by stage() that no later plan reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df._factloom_path)
-    path.getFileSystem(conf).delete(path, True)
+    for scope in _scopes:
+        if df._factloom_path in scope:
+            scope.remove(df._factloom_path)
+    _remove(df.sparkSession, df._factloom_path)
+
+
+def few(df: DataFrame, limit: int) -> DataFrame:
+    """df, broadcast if a count shows that it has `limit` rows at most."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
