@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import quality as fm
 from factloom.llm import toxicity as lexicon
-from factloom.llm.common import read, stage
-from factloom.llm.neardup import near_duplicates
+from factloom.llm.common import drop_stage, keep, read, scratch
+from factloom.llm.neardup import without_near_duplicates
 from factloom.llm.packing import pack_documents
 
 
@@ -22,12 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (op3: five words, a similarity of 0.8 or more): the smallest doc_id.
-
-    Rows that repeat a kept doc_id stay with it; rows without a doc_id can't be named as copies and stay.
-    """
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    """One row of each group of near-duplicates (op3: five words, a similarity of 0.8 or more), the smallest doc_id's; see without_near_duplicates()."""
+    return without_near_duplicates(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +38,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages over documents. Each one's table is removed once the next is written."""
+    docs, written = read(spark, sf_dir, "documents"), False
+    for name, step in STAGES:
+        with scratch(spark):
+            after = keep(step(spark, docs, sf_dir), name)
+        if written:
+            drop_stage(docs)
+        docs, written = after, True
+    return docs
