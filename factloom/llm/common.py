@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +127,17 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES):
         lo = hi
 
 
+def row_slices(batch: pa.RecordBatch, text: int, rows: int = 256, limit: int = SLICE_BYTES):
+    """Slices of a batch with `rows` rows at most, and with `limit` bytes of the text column unless a single text has more."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
+    lo = 0
+    while lo < batch.num_rows:
+        done = size[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(size, done + limit, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def fold_case(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z; other bytes as they are."""
     return _FOLD[data]

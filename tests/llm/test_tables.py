@@ -73,7 +73,7 @@ def test_fingerprints(request, name):
     df = request.getfixturevalue(name)
     band = fingerprints.lexicon(df)
     got = fingerprints.edited_likeness(df, band).collect()
-    rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
     want = defaultdict(int)
     for k, (doc, text) in enumerate(rows):
         follow, q = rows[(k + 1) % len(rows)][1], len(text) // 4
@@ -109,5 +109,85 @@ def test_document_frequencies(docs):
     assert set(fingerprints.lexicon(docs).tolist()) == hashes
 
 
+def naive(text, band):
+    """A text's signature and terms, term by term, in Python's own numbers."""
+    import re
+
+    from factloom.llm.common import span_hashes
+    import numpy as np
+
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m64
+        return x ^ x >> 31
+
+    words = set(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())))
+    terms = {int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words}
+    terms = (terms & band) or terms
+    out = []
+    for k, (a, b) in enumerate(fingerprints._SEEDS.tolist()):
+        picked = [t for t in terms if mix(t * a & m64) >> 64 - fingerprints.LEVELS[k // fingerprints.SUBSETS] == 0]
+        total = sum(mix(t ^ b) for t in picked) & m64
+        out.append(0 if not total else mix(total) % ((1 << 24) - 1) + 1)
+    return out
+
+
+def naive_likeness(a, b):
+    if not any(a) and not any(b):
+        return 1.0
+    for level in range(4, -1, -1):
+        pairs = [(x, y) for x, y in zip(a, b)][16 * level : 16 * level + 16]
+        used = [p for p in pairs if any(p)]
+        if len(used) >= 8 or level == 0:
+            return sum(x == y for x, y in used) / len(used) if used else float(a == b)
+
+
+def check_fingerprints(df, band):
+    rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    seen = {}
+    sign = lambda t: seen.setdefault(t, naive(t, set(band.tolist())))
+    want = []
+    for k, (doc, text) in enumerate(rows):
+        follow, q = rows[(k + 1) % len(rows)][1], len(text) // 4
+        edited = text[: len(text) - q] + follow[:q]
+        hexed = lambda t: "".join(f"{v:06x}" for v in sign(t))
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(text), hexed(edited), naive_likeness(sign(text), sign(edited)), naive_likeness(sign(text), sign(follow))))
+    assert sorted(map(str, want)) == sorted(map(str, map(tuple, fingerprints.edited_likeness(df, band).collect())))
+
+
+@pytest.mark.parametrize("run_bytes, copies", [(1 << 24, 100), (2_000, 2)])
+def test_fingerprints_against_a_plain_form(spark, docs, odd, monkeypatch, run_bytes, copies):
+    monkeypatch.setattr(fingerprints, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(fingerprints, "COPIES", copies)
+    check_fingerprints(docs, fingerprints.lexicon(docs))
+    check_fingerprints(odd, fingerprints.lexicon(odd))
+    wide = [(0, "a b c d"), (1, "e f g h"), (2**63 - 1, "i j k l m"), (-(2**63), "n o p q"), (None, "r s t u"), (None, None), (10**12, "v w")]
+    clash = spark.createDataFrame([(i, t, "x", 7) for i, t in wide], "doc_id long, text string, key string, run int").selectExpr("*", "1 AS times", "2 AS after", "3 AS copies")
+    check_fingerprints(clash, fingerprints.lexicon(clash))
+    one = spark.createDataFrame([(5, "only this text here")], "doc_id long, text string")
+    check_fingerprints(one, fingerprints.lexicon(one))
+
+
+def test_no_run_holds_most_rows(spark, monkeypatch):
+    """An outlier among the ids, and many rows without an id, leave the runs near equal."""
+    monkeypatch.setattr(fingerprints, "RUN_BYTES", 4_000)
+    rows = [(i, f"text {i} of some words") for i in range(3000)] + [(10**12, "far")] + [(None, f"no id {i % 700}") for i in range(2000)] + [(None, "same")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = fingerprints.edited_likeness(df, fingerprints.lexicon(df))
+    assert out.count() == len(rows)
+    from pyspark.sql import functions as F
+
+    per = [r["count"] for r in out.where("n_chars <> 4").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) > 15 and max(per) < 800
+
+
+def test_a_small_lexicon_limit(docs, monkeypatch):
+    whole = fingerprints.lexicon(docs)
+    monkeypatch.setattr(fingerprints, "TERMS", len(whole) // 2)
+    assert 0 < len(fingerprints.lexicon(docs)) <= len(whole) // 2
+
+
 def test_no_rows(none):
     assert fingerprints.edited_likeness(none, fingerprints.lexicon(none)).count() == 0
