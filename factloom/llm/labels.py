@@ -14,13 +14,17 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """doc_id, text, label of at most `limit` labelled rows, those with the least hash of doc_id; never held-out ones.
+    """doc_id, text, label of at most `limit` labelled documents, those with the least hash of doc_id; never held-out ones.
 
-    Rows with a null label, null doc_id or no document are left out. `limit` also bounds what is broadcast.
+    One row a doc_id, so that `limit` bounds both what is broadcast and what is learned from: of rows that repeat an id
+    the least text counts. Ids whose labels contradict each other, null labels, null ids and labels without a document
+    are left out.
     """
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(~held_out() & F.col("label").isin(0, 1))
-    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def new_name(df: DataFrame, stem: str = "score") -> str:

@@ -130,7 +130,7 @@ def fit(idx, x, at, stats, y: np.ndarray, epochs: int = 10, batch: int = 128, ra
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fits the machine on at most `sample` labelled documents outside the held-out fold."""
+    """Fits the machine on at most `sample` labelled documents outside the held-out fold; see training_rows() for repeated ids. Without any, the score is the prior."""
     kind = "doc_id long, label int, idx array<int>, x array<float>, stats array<double>"
 
     def run(batches):
@@ -172,7 +172,11 @@ def with_score(docs: DataFrame, machine: Machine, column: str) -> DataFrame:
 
 
 def score_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """Per row of docs: its columns, then score (0 to 1) and predicted; columns of docs by these names are replaced."""
+    """Per row of docs: its columns, then score (0 to 1) and predicted; columns of docs by these names are replaced.
+
+    Every row is scored by its own whole text, repeated rows and null ids included; a null text counts as empty; equal
+    texts have equal scores; an empty table gives no rows.
+    """
     scored = with_score(docs.drop("score", "predicted"), machine, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, stage
+from .common import read, scratch, stage
 from .labels import held_out, new_name, training_rows
 
 #: Labelled documents that lexicon and weights are learned from, at most.
@@ -76,7 +78,10 @@ def evidence(automaton: ahocorasick.Automaton, text: str) -> tuple[float, float,
             continue
         (hits if weight else spared).append((start, end, weight))
     if spared:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+        spared.sort()
+        starts, reach = [a for a, *_ in spared], list(accumulate((b for _, b, _ in spared), max))
+        # A hit lies in a phrase if one of those that start no later ends no sooner.
+        hits = [h for h in hits if not (k := bisect_right(starts, h[0])) or reach[k - 1] < h[1]]
     return sum(h[2] for h in hits), float(len({folded[a : b + 1] for a, b, _ in hits})), n, len(hits)
 
 
@@ -101,31 +106,35 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learns words that mark toxic texts, their log-odds as weights, and the score, from at most `sample` labelled texts outside the held-out fold."""
-    rows = stage(training_rows(docs, labels, "toxic", sample), "sample")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
-    words = rows.select("label", F.explode(F.array_distinct(F.split(fold_column("text"), r"[^\p{L}]+"))).alias("word")).where(F.length("word") >= 3)
-    n1, n0 = float(total.t), float(total.n - total.t)
-    k1, k0 = F.sum("label").cast("double"), F.sum(1 - F.col("label")).cast("double")
-    seen = words.groupBy("word").agg(k1.alias("k1"), k0.alias("k0")).where("k1 >= 2")
-    expect = (F.col("k1") + F.col("k0")) * (n1 / max(n1 + n0, 1.0))
-    rest = (F.col("k1") + F.col("k0")) * (n0 / max(n1 + n0, 1.0))
-    ratio = 2 * (F.col("k1") * F.log(F.col("k1") / expect) + F.when(F.col("k0") > 0, F.col("k0") * F.log(F.col("k0") / rest)).otherwise(0.0))
-    odds = F.log((F.col("k1") + 0.5) / (n1 + 1)) - F.log((F.col("k0") + 0.5) / (n0 + 1))
-    picked = seen.withColumns({"g2": ratio, "weight": odds}).where((F.col("g2") >= SIGNIFICANCE) & (F.col("weight") >= LEAST_WEIGHT))
-    weights = {r.word: r.weight for r in picked.orderBy(F.desc("g2"), "word").limit(LEXICON).collect()}
-    lexicon = Lexicon(weights, exceptions, np.zeros(4))
-
-    def run(batches):
-        automaton = lexicon.automaton()
-        for b in batches:
-            x = inputs([evidence(automaton, t or "") for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
-
-    got = rows.mapInArrow(run, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
-    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, 4)
-    lexicon.coefficients = fit_logistic(x, got.column("label").to_numpy().astype(float))
-    return lexicon
+    """Learns words that mark toxic texts, their log-odds as weights, and the score, from at most `sample` labelled texts outside the held-out fold.
+
+    Without documents or labels the lexicon is empty and the score is the prior. See training_rows() for repeated ids.
+    """
+    with scratch(docs.sparkSession):
+        rows = stage(training_rows(docs, labels, "toxic", sample), "sample")
+        total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
+        words = rows.select("label", F.explode(F.array_distinct(F.split(fold_column("text"), r"[^\p{L}]+"))).alias("word")).where(F.length("word") >= 3)
+        n1, n0 = float(total.t), float(total.n - total.t)
+        k1, k0 = F.sum("label").cast("double"), F.sum(1 - F.col("label")).cast("double")
+        seen = words.groupBy("word").agg(k1.alias("k1"), k0.alias("k0")).where("k1 >= 2")
+        expect = (F.col("k1") + F.col("k0")) * (n1 / max(n1 + n0, 1.0))
+        rest = (F.col("k1") + F.col("k0")) * (n0 / max(n1 + n0, 1.0))
+        ratio = 2 * (F.col("k1") * F.log(F.col("k1") / expect) + F.when(F.col("k0") > 0, F.col("k0") * F.log(F.col("k0") / rest)).otherwise(0.0))
+        odds = F.log((F.col("k1") + 0.5) / (n1 + 1)) - F.log((F.col("k0") + 0.5) / (n0 + 1))
+        picked = seen.withColumns({"g2": ratio, "weight": odds}).where((F.col("g2") >= SIGNIFICANCE) & (F.col("weight") >= LEAST_WEIGHT))
+        weights = {r.word: r.weight for r in picked.orderBy(F.desc("g2"), "word").limit(LEXICON).collect()}
+        lexicon = Lexicon(weights, exceptions, np.zeros(4))
+
+        def run(batches):
+            automaton = lexicon.automaton()
+            for b in batches:
+                x = inputs([evidence(automaton, t or "") for t in b.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+
+        got = rows.mapInArrow(run, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
+        x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, 4)
+        lexicon.coefficients = fit_logistic(x, got.column("label").to_numpy().astype(float))
+        return lexicon
 
 
 def with_score(docs: DataFrame, lexicon: Lexicon, column: str) -> DataFrame:
@@ -142,7 +151,11 @@ def with_score(docs: DataFrame, lexicon: Lexicon, column: str) -> DataFrame:
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
-    """Per row of docs: its columns, then score (0 to 1) and predicted; columns of docs by these names are replaced."""
+    """Per row of docs: its columns, then score (0 to 1) and predicted; columns of docs by these names are replaced.
+
+    Every row is scored by its own whole text, repeated rows and null ids included; a null text counts as empty; texts
+    with equal words have equal scores; an empty table gives no rows.
+    """
     scored = with_score(docs.drop("score", "predicted"), lexicon, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
