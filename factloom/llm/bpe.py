@@ -1,8 +1,9 @@
 """Exact byte-pair encoding of whole texts by public vocabularies.
 
-Texts are cut where no pre-token can cross (before a run of ASCII white space), so that a cut's ids depend on the cut
-alone; each worker remembers the ids of the cuts it has met, in tables of bounded size. Whatever the short paths do not
-cover (rare white space, letters past the Latin blocks, special strings) goes to the tokenizers library itself.
+Texts are cut where no pre-token can cross (before a run of white space), so that a cut's ids depend on the cut alone;
+each worker remembers the ids of the cuts it has met, in tables of bounded bytes. What the byte-level encoders need to
+know of the tokenizers library (which vocabulary strings are whole tokens, and where its character classes differ from
+ours) is proved once on the driver and sent to the workers, which do not use the library.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from array import array
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -21,14 +24,18 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Entries that a worker remembers in each of its tables; a full table starts anew.
-MEMORY = 600_000
+#: Bytes that a worker remembers in each of its tables; a full table starts anew.
+MEMORY = 64 << 20
+#: Characters of a cut or pre-token that is remembered, at most.
+LONGEST = 512
 
+#: White space of the public pattern besides the space itself (fixed values).
+_ODD_SPACES = "\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN = re.compile("[\x03-\u024f]*")
 _BORDERED = re.compile("[\x02-\u024f]*")
-_JOINED_SPACE = re.compile(r" [ \t-\r]|[\t-\r] |^ | $")
-_CUTS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_JOINED_SPACE = re.compile(f" [ {_ODD_SPACES}]|[{_ODD_SPACES}] |^ | $")
+_CUTS = re.compile(f"[ {_ODD_SPACES}]*[^ {_ODD_SPACES}]+|[ {_ODD_SPACES}]+")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -39,16 +46,20 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Memo(dict):
-    """A dict of bounded size that computes what it lacks."""
+    """A dict of bounded bytes that computes what it lacks; long keys are computed each time."""
 
-    def __init__(self, make, limit: int = MEMORY):
+    def __init__(self, make, limit: int | None = None):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, MEMORY if limit is None else limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if isinstance(key, int) or len(key) <= LONGEST:
+            if self.held > self.limit:
+                self.clear()
+                self.held = 0
+            self.held += sys.getsizeof(key) + sys.getsizeof(out) + 64
+            self[key] = out
         return out
 
 
@@ -78,6 +89,7 @@ class WordBpe:
         self.border = self.merge.encode_ordinary("\x02\x01")[0]
         self.lower = self.library.normalizer.normalize_str
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -101,73 +113,131 @@ class WordBpe:
         cuts = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         met = set(chain.from_iterable(c for c in cuts if c))
         if new := met.difference(self.known):
-            if len(self.known) + len(new) > MEMORY:
+            if self.held > MEMORY:
                 self.known.clear()
-                new = met
+                self.held, new = 0, met
             self._learn(list(new))
+            self.held += sum(sys.getsizeof(c) + len(self.known[c]) + 97 for c in new)
         get = self.known.__getitem__
         return [self._library_ids(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts, strict=True)]
 
 
+class Proof(NamedTuple):
+    """What is known of a byte-level vocabulary's library form: strings that it encodes as one token, and the characters
+    that its tables class otherwise than ours, by the class it gives them (letter, number, space, other), as ranges."""
+
+    whole: frozenset[str]
+    moved: tuple[tuple[str, str], ...]
+
+
+_CLASSES = {"letter": regex.compile(r"\p{L}+"), "number": regex.compile(r"\p{N}+"), "space": regex.compile(r"\s+"), "other": regex.compile(r"[^\s\p{L}\p{N}]+")}
+
+
+def _moved(split) -> tuple[tuple[str, str], ...]:
+    """For all code points: (class of the library, ranges as in a character set) where it is not our own class.
+
+    split(text) gives the library's pre-tokens. All characters of one class of ours make one text; wherever the library
+    cuts it, its classes change, and one character of each part tells which class it is.
+    """
+    out: dict[str, str] = {}
+    whole = "".join(map(chr, chain(range(0x21, 0xD800), range(0xE000, 0x110000))))
+    for own, chars in _CLASSES.items():
+        if own == "space":
+            continue
+        for part in split("".join(chars.findall(whole))):
+            kind = next((k for k, with_ in (("letter", "a"), ("number", "1"), ("other", "!")) if len(split(with_ + part[0])) == 1), "space")
+            if kind != own:
+                codes = np.array([ord(c) for c in part])
+                edge = np.flatnonzero(np.diff(codes) != 1)
+                low, high = codes[np.append(0, edge + 1)], codes[np.append(edge, len(codes) - 1)]
+                out[kind] = out.get(kind, "") + "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in zip(low.tolist(), high.tolist(), strict=True))
+    return tuple(sorted(out.items()))
+
+
+@lru_cache(maxsize=4)
+def prove(path: str) -> Proof:
+    """Asks the tokenizers library, once: every vocabulary string that is text and one pre-token, and every code point."""
+    library = _library(path)
+
+    def split(text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+
+    moved = _moved(split)
+    own = ByteBpe(path, Proof(frozenset(), moved))
+    texts = {}
+    for i, b in own.token_bytes.items():
+        try:
+            texts[b.decode()] = i
+        except UnicodeDecodeError:
+            continue
+    names = [s for s in texts if own.pieces(s) == [s]]
+    got = library.encode_batch(names, add_special_tokens=False)
+    return Proof(frozenset(s for s, e in zip(names, got, strict=True) if e.ids == [texts[s]]), moved)
+
+
 class ByteBpe:
-    """What op6 and op8 share: the cuts of a byte-level vocabulary (byte_bpe_50k.json) and its pre-tokens."""
+    """What op6 and op8 share: the cuts of a byte-level vocabulary (byte_bpe_50k.json), its special strings and its pre-tokens."""
 
     _PIECES = regex.compile(public_tokenizers.PATTERN)
 
-    def __init__(self, path: str):
-        self.library = _library(path)
+    def __init__(self, path: str, proof: Proof):
         model = json.load(open(path, encoding="utf-8"))
         byte, self.vocab = _byte_alphabet(), model["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
+        if model["normalizer"] or any(x["lstrip"] or x["rstrip"] or x["single_word"] or _CUTS.findall(x["content"]) != [x["content"]] for x in model["added_tokens"]):
+            raise ValueError(f"{path} has a normaliser or special strings that reach over white space")
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.token_bytes = {i: bytes(byte[c] for c in s) for s, i in self.vocab.items() if s not in self.special}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
         self.merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
+        ranges = dict(proof.moved)
+        every = "".join(ranges.values())
+        self.moved = regex.compile(f"[{every}]" if every else r"(?!)")
+        sets = {k: f"[[{own}--[{every}]]||[{ranges[k]}]]" if k in ranges else f"[{own}--[{every}]]" for k, own in (("letter", r"\p{L}"), ("number", r"\p{N}"), ("space", r"\s"), ("other", r"[^\s\p{L}\p{N}]"))} if every else {}
+        pattern = public_tokenizers.PATTERN
+        if every:
+            # The same pattern, with the classes spelt out.
+            space = sets["space"]
+            pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{sets['letter']}+| ?{sets['number']}+| ?{sets['other']}+|{space}+(?=$|{space})|{space}+"
+        self.moved_pieces = regex.compile("(?V1)" + pattern)
 
     def cuts(self, text: str, first, inner):
-        """Values of a text's cuts: first(cut with its white space), inner(what follows one space); None if it must stay whole."""
-        if _ODD_SPACE.search(text):
-            return None
+        """Values of a text's cuts: first(cut with its white space), inner(what follows one space)."""
         if _JOINED_SPACE.search(text):
             return map(first, _CUTS.findall(text))
         head, *rest = text.split(" ")
         return [first(head), *map(inner, rest)] if head else map(inner, rest)
 
-    def pieces(self, cut: str) -> list[str] | None:
-        """A cut's pre-tokens; None where only the library is to decide."""
-        return self._PIECES.findall(cut) if "<|" not in cut and _PLAIN.fullmatch(cut) else None
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
+        return (self.moved_pieces if self.moved.search(text) else self._PIECES).findall(text)
+
+    def parts(self, cut: str):
+        """A cut's pre-tokens as texts, and its special strings as ids, in order."""
+        at = 0
+        for m in self.specials.finditer(cut):
+            yield from self.pieces(cut[at : m.start()])
+            yield self.special[m[0]]
+            at = m.end()
+        yield from self.pieces(cut[at:] if at else cut)
 
 
 class WholeTokenCounter(ByteBpe):
     """Counts tokens. Strings proved to encode alone as one token count as one; only the rest is merged."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.whole = self._prove()
+    def __init__(self, path: str, proof: Proof):
+        super().__init__(path, proof)
+        self.whole = proof.whole
         own = {b: i for i, b in self.token_bytes.items()}
-        self.merge = tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={})._core_bpe.encode_single_piece
+        self.merge = tiktoken.Encoding("byte", pat_str=r"(?s:.+)", mergeable_ranks=own, special_tokens={}).encode_ordinary
         self.first = Memo(self._cut).__getitem__
         self.inner = Memo(lambda rest: self._cut(" " + rest)).__getitem__
 
-    def _prove(self) -> frozenset[str]:
-        """Vocabulary strings that are text, are one pre-token, and that the library encodes as that one token."""
-        texts = {}
-        for i, b in self.token_bytes.items():
-            try:
-                texts[b.decode()] = i
-            except UnicodeDecodeError:
-                continue
-        names = [s for s in texts if self._PIECES.findall(s) == [s]]
-        got = self.library.encode_batch(names, add_special_tokens=False)
-        return frozenset(s for s, e in zip(names, got, strict=True) if e.ids == [texts[s]])
-
     def _cut(self, cut: str) -> int:
-        if (pieces := self.pieces(cut)) is None:
-            return len(self.library.encode(cut, add_special_tokens=False).ids)
-        return sum(1 if p in self.whole else len(self.merge(p.encode())) for p in pieces)
+        return sum(1 if isinstance(p, int) or p in self.whole else len(self.merge(p)) for p in self.parts(cut))
 
     def count(self, text: str) -> int:
-        found = self.cuts(text, self.first, self.inner)
-        return len(self.library.encode(text, add_special_tokens=False).ids) if found is None else sum(found)
+        return sum(self.cuts(text, self.first, self.inner))
 
 
 class BacktrackingBpe(ByteBpe):
@@ -178,8 +248,8 @@ class BacktrackingBpe(ByteBpe):
     none is left the last token is given up. Each position is given up once at most, so the time is linear.
     """
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, proof: Proof):
+        super().__init__(path, proof)
         n = max(max(self.vocab.values()), *self.special.values()) + 1
         self.length = [0] * n
         self.left, self.right, self.joined = list(range(n)), list(range(n)), {}
@@ -251,15 +321,10 @@ class BacktrackingBpe(ByteBpe):
         return array("I", out).tobytes()
 
     def _cut(self, cut: str) -> bytes:
-        if (pieces := self.pieces(cut)) is None:
-            return np.array(self.library.encode(cut, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join([self.piece_ids[p.encode()] for p in pieces])
+        return b"".join([p.to_bytes(4, "little") if isinstance(p, int) else self.piece_ids[p.encode()] for p in self.parts(cut)])
 
     def encode(self, text: str) -> np.ndarray:
-        found = self.cuts(text, self.first, self.inner)
-        if found is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.frombuffer(b"".join(found), dtype="<u4")
+        return np.frombuffer(b"".join(self.cuts(text, self.first, self.inner)), dtype="<u4")
 
     @staticmethod
     def _offset_table(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +348,11 @@ class BacktrackingBpe(ByteBpe):
         return self._gather(self.decimal_table, ids)[:-1]
 
 
-@lru_cache(maxsize=4)
-def encoder(kind: type, path: str):
+_encoders: dict = {}
+
+
+def encoder(kind: type, path: str, *proof: Proof):
     """One encoder a worker and path."""
-    return kind(path)
+    if (kind, path) not in _encoders:
+        _encoders[kind, path] = kind(path, *proof)
+    return _encoders[kind, path]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import WordBpe, encoder
-from .common import read, stage
+from .common import keep, read, row_slices, scratch, stage
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
@@ -20,6 +21,7 @@ END_ID = 2
 PIECES_A_BUCKET = 20_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"]
 
 
 class OpenWindows:
@@ -85,36 +87,42 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Tokenises whole texts and cuts overlong documents into full windows and a rest. Null texts are empty: the end id alone."""
+    """Tokenises whole texts and cuts overlong documents into full windows and a rest, as PIECES and `copy`.
+
+    Null texts are empty: the end id alone. Rows with a null doc_id and repeated rows are documents like others; copy
+    numbers equal pieces of a task, so that they can be told apart. Other columns are not read, whatever their names.
+    """
     last = np.array([end_id], dtype="<u4").tobytes()
 
     def all_ids(bpe: WordBpe, texts: pa.Array):
-        for at in range(0, len(texts), 256):
-            yield from bpe.ids([t or "" for t in texts.slice(at, 256).to_pylist()])
+        for part in row_slices(pa.record_batch([texts], names=["text"]), 0):
+            yield from bpe.ids([t or "" for t in part.column(0).to_pylist()])
 
     def run(batches):
-        bpe = encoder(WordBpe, path)
+        bpe, copies = encoder(WordBpe, path), Counter()
         for b in batches:
-            cols: list[list[int | None]] = [[], [], [], [], []]
+            cols: list[list[int | None]] = [[] for _ in _NAMES]
             for doc, ids in zip(b.column(0).to_pylist(), all_ids(bpe, b.column(1)), strict=True):
                 ids += last
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     part = ids[4 * at : 4 * (at + window)]
-                    for col, v in zip(cols, (doc, at, len(part) // 4, zlib.crc32(part), n), strict=True):
+                    crc = zlib.crc32(part)
+                    for col, v in zip(cols, (doc, at, len(part) // 4, crc, n, copies[doc, at, crc]), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    copies[doc, at, crc] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(run, f"{PIECES}, copy long")
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, pieces_a_bucket: int = PIECES_A_BUCKET) -> DataFrame:
-    """Adds sequence_id and offset to pieces of 1 to window tokens.
+    """Adds sequence_id and offset to pieces of 1 to window tokens, as token_pieces() gives them.
 
-    Pieces are dealt by a hash of (doc_id, start, their place among equal keys is of no matter) to buckets of bounded
-    size, and each bucket is packed by itself; a bucket's few last windows are all that stays open, and sequence ids
-    interleave the buckets so that none is used twice. Copies of a document may share a bucket: they are packed like
-    other pieces. An empty table gives an empty result.
+    Pieces are dealt by a hash of (doc_id, start, checksum, copy) to buckets of bounded size, copies of a document too,
+    and each bucket is packed by itself: longest first, of equal lengths by doc_id (nulls last), start and checksum. A bucket's
+    few last windows are all that stays open, and sequence ids interleave the buckets so that none is used twice. An
+    empty table gives an empty result.
     """
     n = pieces.count()
     buckets = max(1, -(-n // pieces_a_bucket))
@@ -123,9 +131,9 @@ def pack(pieces: DataFrame, window: int = WINDOW, pieces_a_bucket: int = PIECES_
         t = t.sort_by([(c, "ascending") for c in ("length", "doc_id", "start", "ids_crc32")])
         seq, off = best_fit_decreasing(t.column("length").to_numpy(), window)
         bucket = t.column("bucket")[0].as_py()
-        return t.drop_columns(["bucket"]).append_column("sequence_id", pa.array(seq * buckets + bucket)).append_column("offset", pa.array(off))
+        return t.drop_columns(["bucket", "copy"]).append_column("sequence_id", pa.array(seq * buckets + bucket)).append_column("offset", pa.array(off))
 
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
@@ -135,4 +143,5 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"))
+    with scratch(spark):
+        return keep(pack_documents(read(spark, sf_dir, "documents")), "packed")

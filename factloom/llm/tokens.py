@@ -8,18 +8,24 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import BacktrackingBpe, WholeTokenCounter, encoder
-from .common import read
+from .bpe import BacktrackingBpe, WholeTokenCounter, encoder, prove
+from .common import read, row_slices
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_tokens, over_limit. A null text counts as empty; a null doc_id and repeated rows are kept; other columns are not read."""
+    """Per row of docs: doc_id, n_bytes, n_tokens, over_limit.
+
+    A null text counts as empty; a null doc_id and repeated rows are kept; an empty table gives no rows; other columns
+    are not read, whatever their names.
+    """
+
+    proof = docs.sparkSession.sparkContext.broadcast(prove(path))
 
     def run(batches):
-        counter = encoder(WholeTokenCounter, path)
-        for b in batches:
+        counter = encoder(WholeTokenCounter, path, proof.value)
+        for b in (part for whole in batches for part in row_slices(whole, 1, 1024)):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -31,11 +37,17 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Per row of docs: doc_id, ids array<int>, decoded string. A null text is empty and has no ids; a null doc_id and repeated rows are kept."""
+    """Per row of docs: doc_id, ids array<int>, decoded string.
+
+    A null text is empty and has no ids; a null doc_id and repeated rows are kept; an empty table gives no rows; other
+    columns are not read, whatever their names.
+    """
+
+    proof = docs.sparkSession.sparkContext.broadcast(prove(path))
 
     def run(batches):
-        bpe = encoder(BacktrackingBpe, path)
-        for b in batches:
+        bpe = encoder(BacktrackingBpe, path, proof.value)
+        for b in (part for whole in batches for part in row_slices(whole, 1, 1024)):
             ids = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x.astype("int32") for x in ids], pa.list_(pa.int32())), pa.array([bpe.decode(x).decode() for x in ids], pa.string())],
@@ -48,10 +60,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """encode_documents with digests in place of ids and text, made where the ids are so that neither leaves the worker."""
 
+    proof = docs.sparkSession.sparkContext.broadcast(prove(path))
+
     def run(batches):
-        bpe = encoder(BacktrackingBpe, path)
+        bpe = encoder(BacktrackingBpe, path, proof.value)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+        for b in (part for whole in batches for part in row_slices(whole, 1, 1024)):
             ids = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(bpe.decimal(x)) for x in ids], pa.string()), pa.array([sha(bpe.decode(x)) for x in ids], pa.string())],

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -58,3 +58,15 @@ def test_every_id_is_in_one_piece(docs, odd, none):
             at += length
         assert at <= 256
     assert packing.pack_documents(odd).count() == 7 and packing.pack_documents(none).count() == 0
+
+
+def test_copies_are_dealt_to_many_buckets(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(None, "the same few words")] * 600, "doc_id long, text string").withColumns({"bucket": F.lit("x"), "copy": F.lit("y"), "offset": F.lit(1)}).repartition(3)
+    rows = packing.pack(packing.token_pieces(df, PATH, window=64), window=64, pieces_a_bucket=50).collect()
+    by_seq = defaultdict(list)
+    for r in rows:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 600 and max(Counter(s % 12 for s in (r.sequence_id for r in rows)).values()) < 150
+    assert all(sum(n for _, n in v) <= 64 and sorted(o for o, _ in v) == [v[0][1] * k for k in range(len(v))] for v in by_seq.values())
