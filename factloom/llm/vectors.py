@@ -9,19 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import few, keep, mix64, read, scratch, stage
 from .components import components
 
-#: Vectors that the centroids are fitted on, at most, and clusters, at most; both bound what the driver holds.
+#: Vectors that one level's centroids are fitted on, in expectation at most, and clusters that it makes; a level's clusters are split again.
 SAMPLE, CLUSTERS = 32_768, 1024
-#: Vectors a cluster is meant to hold; nearest groups of clusters that each vector may join in any case; members of a shard that one task holds on either side.
-CLUSTER_SIZE, OVERLAP, BLOCK = 600, 4, 2048
+#: Vectors a cluster is meant to hold, and how many times as many make it be split; part of a cluster's rows from which on a child is not split again.
+CLUSTER_SIZE, SPLIT, STALLED = 600, 4, 0.8
+#: Nearest groups of clusters that each vector may join in any case; members of a shard that one task holds on either side; floats a routing task holds.
+OVERLAP, BLOCK, CHUNK = 4, 2048, 1 << 21
 #: Standard deviations of a partner's offset that routing allows for; part of a shard from which on a range is computed in full.
 SPREAD, DENSE = 1.5, 16
-#: Candidates for pruning (nearest, and spaced over all ranks), neighbours kept, and slack of the pruning rule.
-NEAREST, FAR, DEGREE, ALPHA = 24, 32, 40, 1.44
-#: Expansions before the range is walked; how far below the range the walk still goes.
-WALK, SLACK = 32, 0.08
+#: Of what a walk has met: the nearest that pruning goes through, the nearest from which others are taken at spaced ranks, and how many.
+NEAREST, REACH, FAR = 24, 96, 12
+#: Random earlier vectors that become neighbours too; neighbours kept, and as many that chose a vector; slack of the pruning rule.
+RANDOM, DEGREE, ALPHA = 8, 40, 1.44
+#: Expansions before the range is walked; how far below the range the walk still goes; vectors that start the graph.
+WALK, SLACK, SEEDS = 32, 0.08, 64
 
 
 def usable(v):
@@ -87,154 +91,215 @@ def routes(x: np.ndarray, c: np.ndarray, group: np.ndarray, least: float) -> tup
     return row, names[g], g == at[first[row]]
 
 
-def robust_pruned(x: np.ndarray, skip: float | None = None) -> np.ndarray:
-    """Neighbours of each vector (own index where there are fewer), and as many that have it as theirs.
+def walk(qx: np.ndarray, x: np.ndarray, graph: np.ndarray, start: np.ndarray, least: float | None, own: np.ndarray | None = None) -> np.ndarray:
+    """Cosines of the queries qx with the vectors of x that greedy walks from `start` (and each query's own node) meet; -2 for the others.
 
-    Candidates are the nearest vectors and others at ranks spaced as powers, which make the long edges of the graph.
-    They are gone through nearest first; of the nearest, what a kept one is clearly nearer to is left out. Where skip
-    is given, vectors whose range of that cosine takes up much of x choose none: range_search() computes them in full.
+    Where least is given, the walk then goes on over all that lies in the range or little below it. A range that takes
+    up much of x is computed in full, which is exact and costs less than walking it.
+    """
+    n, rows = len(x), np.arange(len(qx))
+    sims = np.full((len(qx), n), -2.0)
+    done = np.zeros((len(qx), n), dtype=bool)
+    sims[:, start] = qx @ x[start].T
+    if own is not None:
+        sims[rows, own] = 1.0
+    step, live = 0, rows
+    while len(live) and (step < WALK or least is not None):
+        open_sims = np.where(done[live], -3.0, sims[live])
+        width = 1 if step < WALK else min(8, n)
+        best = open_sims.argmax(axis=1)[:, None] if width == 1 else np.argpartition(-open_sims, width - 1, axis=1)[:, :width]
+        value = np.take_along_axis(open_sims, best, axis=1)
+        want = value > -2 if step < WALK else value >= least - SLACK
+        some = want.any(axis=1)
+        live, best, want = live[some], best[some], want[some]
+        if least is not None:
+            dense = (sims[live] >= least).sum(axis=1) * DENSE >= n
+            if dense.any():
+                sims[live[dense]] = qx[live[dense]] @ x.T
+                live, best, want = live[~dense], best[~dense], want[~dense]
+        r, c = np.nonzero(want)
+        done[live[r], best[r, c]] = True
+        to = graph[best[r, c]]
+        who = np.repeat(live[r], to.shape[1])
+        to = to.ravel()
+        new = sims[who, to] == -2.0
+        who, to = who[new], to[new]
+        if len(who):
+            sims[who, to] = np.einsum("ij,ij->i", qx[who], x[to])
+        step += 1
+    return sims
+
+
+def incremental_graph(x: np.ndarray) -> np.ndarray:
+    """Neighbours of each vector: DEGREE that it chose and DEGREE that chose it; its own index where there are fewer.
+
+    Vectors are put in by batches that grow with the graph. Each one's candidates are what a greedy walk over the graph
+    so far has met, and its batch. The nearest are gone through nearest first, and what a kept one is clearly nearer to
+    is left out (robust pruning); others at spaced ranks, and random earlier vectors, make the long edges.
     """
     n = len(x)
-    out = np.repeat(np.arange(n)[:, None], 2 * DEGREE, axis=1)
-    if n < 2:
-        return out
-    ranks = np.unique(np.concatenate([np.arange(min(NEAREST, n - 1)), np.geomspace(1, n - 1, FAR).astype(int) - 1]))
-    close = min(NEAREST, n - 1)
-    for lo in range(0, n, 256):
-        sims = x[lo : lo + 256] @ x.T
-        rows = np.arange(len(sims))
-        sims[rows, lo + rows] = -2
-        if skip is not None:
-            rows = np.flatnonzero((sims >= skip).sum(axis=1) * DENSE < n)
-            sims = sims[rows]
-            if not len(rows):
-                continue
-        cand = np.argsort(-sims, axis=1, kind="stable")[:, ranks]
+    graph = np.repeat(np.arange(n)[:, None], 2 * DEGREE, axis=1)
+    back = np.zeros(n, np.int64)
+    rng = np.random.default_rng(11)
+    order = rng.permutation(n)
+    at = 0
+    while at < n:
+        batch = order[at : at + (max(16, min(256, at // 4)) if at else SEEDS)]
+        sims = walk(x[batch], x, graph, order[: min(8, at)], None) if at else np.full((len(batch), n), -2.0)
+        sims[:, batch] = x[batch] @ x[batch].T
+        if at:
+            pick = order[rng.integers(0, at, (len(batch), RANDOM))]
+            np.put_along_axis(sims, pick, np.einsum("ij,ikj->ik", x[batch], x[pick]), axis=1)
+        sims[np.arange(len(batch)), batch] = -2.0
+        reach = min(REACH, n)
+        near = np.argpartition(-sims, reach - 1, axis=1)[:, :reach] if reach < n else np.repeat(np.arange(n)[None, :], len(batch), axis=0)
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable"), axis=1)
+        close = min(NEAREST, reach)
+        ranks = np.unique(np.concatenate([np.arange(close), np.geomspace(1, reach, FAR).astype(int) - 1]))
+        cand = near[:, ranks]
         far = 1 - np.take_along_axis(sims, cand, axis=1)
+        alive = far < 3
         between = 1 - np.matmul(x[cand], x[cand].transpose(0, 2, 1))
-        alive, count = np.ones(cand.shape, dtype=bool), np.zeros(len(sims), np.int64)
-        for j in range(len(ranks)):
+        if at:
+            cand, far = np.concatenate([cand, pick], axis=1), np.concatenate([far, np.zeros(pick.shape)], axis=1)
+            alive = np.concatenate([alive, np.ones(pick.shape, bool)], axis=1)
+        count = np.zeros(len(batch), np.int64)
+        for j in range(cand.shape[1]):
             take = np.flatnonzero(alive[:, j] & (count < DEGREE))
-            out[lo + rows[take], count[take]] = cand[take, j]
+            graph[batch[take], count[take]] = cand[take, j]
             count[take] += 1
-            alive[take, :close] &= (ALPHA * between[take, j] > far[take])[:, :close]
-    source, place = np.nonzero(out[:, :DEGREE] != np.arange(n)[:, None])
-    target = out[source, place]
-    order = np.lexsort((place, target))
-    source, target = source[order], target[order]
-    nth = np.arange(len(target)) - np.searchsorted(target, target)
-    out[target[nth < DEGREE], DEGREE + nth[nth < DEGREE]] = source[nth < DEGREE]
-    return out
-
-
-def range_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, least: float):
-    """Yields (query indices, found mask over x): greedy walks from the medoids and the query's own node, then a walk over all of the widened range.
-
-    A range that takes up much of x is computed in full, which is exact and costs less than walking it.
-    """
-    n = len(x)
-    for lo in range(0, len(queries), 256):
-        q = queries[lo : lo + 256]
-        rows = np.arange(len(q))
-        sims = np.full((len(q), n), -2.0)
-        done = np.zeros((len(q), n), dtype=bool)
-        sims[:, start] = x[q] @ x[start].T
-        sims[rows, q] = 1.0
-        step = 0
-        live = rows
-        while len(live):
-            open_sims = np.where(done[live], -3.0, sims[live])
-            width = 1 if step < WALK else min(8, n)
-            best = open_sims.argmax(axis=1)[:, None] if width == 1 else np.argpartition(-open_sims, width - 1, axis=1)[:, :width]
-            value = np.take_along_axis(open_sims, best, axis=1)
-            want = value > -2 if step < WALK else value >= least - SLACK
-            some = want.any(axis=1)
-            live, best, want = live[some], best[some], want[some]
-            dense = (sims[live] >= least).sum(axis=1) * DENSE >= n
-            if dense.any():
-                sims[live[dense]] = x[q[live[dense]]] @ x.T
-                live, best, want = live[~dense], best[~dense], want[~dense]
-            if not len(live):
-                break
-            r, c = np.nonzero(want)
-            done[live[r], best[r, c]] = True
-            to = graph[best[r, c]]
-            who = np.repeat(live[r], to.shape[1])
-            to = to.ravel()
-            new = sims[who, to] == -2.0
-            who, to = who[new], to[new]
-            if len(who):
-                sims[who, to] = np.einsum("ij,ij->i", x[q[who]], x[to])
-            step += 1
-        yield q, sims >= least
-
-
-def _build(dim: int, least: float):
+            if j < len(ranks):
+                alive[take, :close] &= (ALPHA * between[take, j] > far[take, : len(ranks)])[:, :close]
+        source, place = np.nonzero(np.arange(DEGREE)[None, :] < count[:, None])
+        target, source = graph[batch[source], place], batch[source]
+        by = np.argsort(target, kind="stable")
+        target, source = target[by], source[by]
+        nth = np.arange(len(target)) - np.searchsorted(target, target)
+        free = back[target] + nth < DEGREE
+        graph[target[free], DEGREE + back[target[free]] + nth[free]] = source[free]
+        for v in np.unique(target[~free]).tolist():  # a full list keeps its nearest
+            mine = np.unique(np.concatenate([graph[v, DEGREE:], source[target == v]]))
+            mine = mine[mine != v]
+            graph[v, DEGREE : DEGREE + min(DEGREE, len(mine))] = mine[np.argsort(-(x[mine] @ x[v]), kind="stable")[:DEGREE]]
+        back = np.minimum(DEGREE, back + np.bincount(target, minlength=n))
+        at += len(batch)
+    return graph
+
+
+def _build(dim: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
-        inner = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         ids = t.column("rep").to_numpy()
-        near = ids[robust_pruned(unit(t.column("embedding"), dim), None if inner else least)]
+        near = ids[incremental_graph(unit(t.column("embedding"), dim))]
         return pa.table({"rep": pa.array(ids), "near": pa.array(list(near), pa.list_(pa.int64()))})
 
     return run
 
 
+def _local(ids: np.ndarray, near: pa.ListArray) -> np.ndarray:
+    """Adjacency lists of ids (in order) as places in them; neighbours that are not among them point back."""
+    size, flat = near.value_lengths().to_numpy(), near.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+    row = np.repeat(np.arange(len(ids)), size)
+    at = np.where(ids[at] == flat, at, row)
+    graph = np.repeat(np.arange(len(ids))[:, None], max(1, size.max()), axis=1)
+    graph[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = at
+    return graph
+
+
+#: A row without b: wa vectors are linked with a. A row with wa: the link of a and b, which counts wa for a and wb for b. Others only say that both are connected.
+LINKS = "a long, b long, wa long, wb long"
+
+
 def _search(dim: int, least: float):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        inner = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        t = t.sort_by([("block", "ascending"), ("rep", "ascending")])
         ids, copies, home, block = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "copies", "home", "block"))
-        x = unit(t.column("embedding"), dim)
-        near = t.column("near").combine_chunks()
-        size = near.value_lengths().to_numpy()
-        flat = near.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        row = np.repeat(np.arange(len(ids)), size)
-        at = np.where(ids[at] == flat, at, row)  # neighbours that are not in this shard point back
-        graph = np.repeat(np.arange(len(ids))[:, None], max(1, size.max()), axis=1)
-        graph[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = at
-        center = x.mean(axis=0)
-        start = np.unique(np.concatenate([[(x @ center).argmax()], np.linspace(0, len(ids) - 1, 8).astype(int)]))
-        comp = np.arange(len(ids))
-        a, b, w = [], [], []
-        for q, found in range_search(x, graph, start, np.flatnonzero(home), least):
-            found[np.arange(len(q)), q] = False
-            if not inner:
-                found &= block[q][:, None] != block[None, :]
-            count = found @ copies
-            for k in np.flatnonzero(count).tolist():
-                a.append(ids[q[k]])
-                b.append(None)
-                w.append(count[k])
-                for y in np.flatnonzero(found[k] & (comp != comp[q[k]])).tolist():
-                    if comp[y] != comp[q[k]]:
-                        comp[comp == comp[y]] = comp[q[k]]
-                        a.append(ids[q[k]])
-                        b.append(ids[y])
-                        w.append(0)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "w": pa.array(w, pa.int64())})
+        x, near = unit(t.column("embedding"), dim), t.column("near").combine_chunks()
+        sides = [np.flatnonzero(block == k) for k in np.unique(block)]
+        inner = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        found = np.zeros((len(ids), len(ids)), dtype=bool)
+        for asked, base in [(sides[0], sides[0])] if inner else [(sides[0], sides[1]), (sides[1], sides[0])] if len(sides) == 2 else []:
+            xb, graph = x[base], _local(ids[base], near.take(pa.array(base)))
+            start = np.unique(np.append(np.linspace(0, len(base) - 1, 8).astype(int), (xb @ xb.mean(axis=0)).argmax()))
+            queries = np.flatnonzero(home[asked])
+            for lo in range(0, len(queries), 256):
+                q = queries[lo : lo + 256]
+                found[asked[q][:, None], base] = walk(x[asked[q]], xb, graph, start, least, q if inner else None) >= least
+        np.fill_diagonal(found, False)
+        # Pairs at home here are counted here, from both ends; the others are named, as their other shard may name them too.
+        rows: list[tuple] = []
+        x_, y_ = np.nonzero(found[home][:, ~home])
+        for p, q in zip(np.flatnonzero(home)[x_].tolist(), np.flatnonzero(~home)[y_].tolist(), strict=True):
+            p, q = (p, q) if ids[p] < ids[q] else (q, p)
+            rows.append((ids[p], ids[q], copies[q], copies[p]))
+        mine = np.flatnonzero(home)
+        both = found[np.ix_(mine, mine)]
+        both |= both.T
+        comp = np.arange(len(mine))
+        for k in np.flatnonzero(both.any(axis=1)).tolist():
+            at = np.flatnonzero(both[k])
+            rows.append((ids[mine[k]], None, copies[mine[at]].sum(), None))
+            for y in at[comp[at] != comp[k]].tolist():
+                if comp[y] != comp[k]:
+                    comp[comp == comp[y]] = comp[k]
+                    rows.append((ids[mine[k]], ids[mine[y]], None, None))
+        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "wa", "wb"))})
 
     return run
 
 
-def _shards(vectors: DataFrame, dim: int, count: int, least: float) -> DataFrame:
-    """rep, copies, embedding, home, (cluster, i, j), block: every vector in all groups of clusters that routes() names, large groups as pairs of blocks."""
-    k = max(1, min(CLUSTERS, -(-count // CLUSTER_SIZE)))
-    sample = vectors.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow().sort_by("rep")
-    c = centroids(unit(sample.column("embedding"), dim), k)
-    group = merged(c, least)
-
-    def route(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                row, cluster, home = routes(unit(part.column(2), dim), c, group, least)
-                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(cluster, pa.int32()), pa.array(home)], names=["rep", "copies", "embedding", "cluster", "home"])
+def _split(level: DataFrame, dim: int, least: float) -> DataFrame | None:
+    """level (rep, copies, embedding, cluster, home, parent) with the clusters that are too large replaced by theirs; None if there is none.
 
-    routed = stage(vectors.select("rep", "copies", "embedding").mapInArrow(route, "rep long, copies long, embedding array<float>, cluster int, home boolean"), "routed")
-    large = routed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = routed.join(F.broadcast(large), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    parent: rows of the cluster that a row's cluster was split off, 0 for the first.
+    """
+    homes = F.count_if("home")
+    sizes = level.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), homes.alias("homes"), F.max("parent").alias("parent"))
+    large = stage(sizes.where((F.col("homes") > SPLIT * CLUSTER_SIZE) & ((F.col("parent") == 0) | (F.col("rows") < STALLED * F.col("parent")))).drop("parent"), "large")
+    if large.isEmpty():
+        return None
+    k = F.least(F.lit(CLUSTERS), F.ceil(F.col("homes") / CLUSTER_SIZE)).cast("int")
+    large = large.withColumns({"k": k, "every": F.greatest(F.lit(1), F.floor(F.col("homes") / F.least(F.lit(SAMPLE), 64 * k)).cast("long")), "chunks": F.ceil(F.col("rows") / max(256, CHUNK // max(1, dim))).cast("int")})
+    large = few(large, 100_000)
+    rows = level.drop("parent").join(large, "cluster")
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        c = centroids(unit(t.column("embedding"), dim), t.column("k")[0].as_py())
+        return pa.table({"cluster": t.column("cluster").slice(0, 1), "centers": pa.array([c.tobytes()], pa.binary()), "groups": pa.array([merged(c, least)], pa.list_(pa.int64()))})
+
+    fitted = stage(rows.where(F.col("home") & (F.pmod(F.xxhash64("rep"), "every") == 0)).select("cluster", "k", "rep", "embedding").groupBy("cluster").applyInArrow(fit, "cluster long, centers binary, groups array<long>"), "fitted")
+
+    def route(t: pa.Table, f: pa.Table) -> pa.Table:
+        out = []
+        if t.num_rows and f.num_rows:
+            c, group = np.frombuffer(f.column("centers")[0].as_py()).reshape(-1, dim), np.array(f.column("groups")[0].as_py())
+            for lo in range(0, t.num_rows, 1024):
+                part = t.slice(lo, 1024).combine_chunks()
+                row, child, own = routes(unit(part.column("embedding"), dim), c, group, least)
+                part = part.take(pa.array(row))
+                named = mix64(part.column("cluster").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + child.astype(np.uint64) + np.uint64(1)).view(np.int64)
+                out.append(pa.table({"rep": part.column("rep"), "copies": part.column("copies"), "embedding": part.column("embedding"), "cluster": pa.array(named), "home": pa.array(own & part.column("home").to_numpy()), "parent": part.column("rows")}))
+        return pa.concat_tables(out) if out else pa.table({"rep": pa.array([], pa.int64()), "copies": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32())), "cluster": pa.array([], pa.int64()), "home": pa.array([], pa.bool_()), "parent": pa.array([], pa.int64())})
+
+    dealt = rows.select("rep", "copies", "embedding", "cluster", "home", "rows", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"))
+    each = fitted.join(large, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "centers", "groups")
+    made = dealt.groupBy("cluster", "chunk").cogroup(each.groupBy("cluster", "chunk")).applyInArrow(route, "rep long, copies long, embedding array<float>, cluster long, home boolean, parent long")
+    return level.join(large.select("cluster"), "cluster", "left_anti").select("rep", "copies", "embedding", "cluster", "home", "parent").union(made)
+
+
+def _shards(vectors: DataFrame, dim: int, least: float) -> DataFrame:
+    """rep, copies, embedding, home, (cluster, i, j), block: every vector in all groups of clusters that routes() names, large groups as pairs of blocks.
+
+    All vectors are one cluster at first; clusters that are too large are split, by centroids fitted on a sample of
+    each, until they are small or do not fall apart any more.
+    """
+    level = stage(vectors.select("rep", "copies", "embedding", F.lit(0).cast("long").alias("cluster"), F.lit(True).alias("home"), F.lit(0).cast("long").alias("parent")), "level")
+    while (after := _split(level, dim, least)) is not None:
+        level = stage(after, "level")
+    large = level.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = level.join(few(stage(large, "blocks"), 100_000), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("rep", "copies", "embedding", "home", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
 
@@ -242,36 +307,39 @@ def _shards(vectors: DataFrame, dim: int, count: int, least: float) -> DataFrame
 def near_vectors(rows: DataFrame, least: float = 0.95) -> DataFrame:
     """Per row of rows (vec_id, embedding): vec_id, n_links, component_id, kept, by cosine in double precision.
 
-    Equal vectors become one class. Classes are dealt by distance to groups of clusters (centroids fitted on a
-    bounded sample; those within the radius of each other make one group). Each shard gives a robust-pruned adjacency
-    list; a class's lists are united, and its links are searched in its nearest group from that shard's medoids, over
-    the whole range. Every link found is checked by its cosine; n_links counts vectors, copies included. Groups beyond
-    BLOCK members are worked as pairs of blocks.
+    Equal vectors become one class. Classes are dealt by distance to groups of clusters (centroids fitted on bounded
+    samples, level by level; those within the radius of each other make one group). Each shard's graph is built by
+    putting in one vector after another, each with robust-pruned neighbours among what a greedy walk meets; a class's
+    lists are united, and its links are searched at its home from the shard's medoids, over the whole range. Every link
+    found is checked by its cosine and counts at both its ends, whichever found it; n_links counts vectors, copies
+    included. Groups beyond BLOCK members are worked as pairs of blocks.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
-    component. Vectors of different lengths do not link. A null vec_id takes its class's component and is never kept.
-    Repeated rows count as vectors. An empty table gives no rows.
+    component. Vectors of different lengths do not link. A null vec_id takes its class's component and is never kept;
+    where all ids of a class are null it links with nothing but its copies. Repeated rows count as vectors. A cosine
+    of exactly `least` is a link. An empty table gives no rows. Columns other than vec_id and embedding are not read.
     """
-    base = rows.select("vec_id", "embedding")
-    classes = base.where(usable("embedding")).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stage(classes.where("rep is not null"), "classes")
-    found = []
-    for size in classes.groupBy(F.size("embedding").alias("dim")).count().orderBy("dim").collect():
-        shards = stage(_shards(classes.where(F.size("embedding") == size.dim), size.dim, size["count"], least), "shards")
-        lists = shards.groupBy("cluster", "i", "j").applyInArrow(_build(size.dim, least), "rep long, near array<long>")
-        lists = stage(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")
-        found.append(shards.join(lists, "rep").groupBy("cluster", "i", "j").applyInArrow(_search(size.dim, least), "a long, b long, w long"))
-    keyed = base.join(classes, "embedding", "left")
-    if not found:
-        links = component = base.sparkSession.createDataFrame([], "rep long, w long").withColumn("component", F.col("rep"))
-    else:
-        pairs = stage(reduce(DataFrame.unionByName, found), "links")
-        links = pairs.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
-        component = components(pairs.where("b is not null").select("a", "b")).toDF("rep", "component")
-    out = keyed.join(links.select("rep", "w"), "rep", "left").join(component.select("rep", "component"), "rep", "left")
-    out = out.withColumn("n_links", F.coalesce("w", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0)))
-    out = out.withColumn("component_id", F.coalesce("component", "rep", "vec_id"))
-    return out.select("vec_id", F.col("n_links").cast("long"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    spark = rows.sparkSession
+    with scratch(spark):
+        base = rows.select("vec_id", "embedding")
+        classes = base.where(usable("embedding")).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        classes = stage(classes, "classes")
+        known = classes.where("rep is not null")
+        found = []
+        for size in known.groupBy(F.size("embedding").alias("dim")).count().orderBy("dim").collect():
+            shards = stage(_shards(known.where(F.size("embedding") == size.dim), size.dim, least), "shards")
+            lists = shards.where("i = j").groupBy("cluster", "i").applyInArrow(_build(size.dim), "rep long, near array<long>")
+            lists = stage(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")
+            found.append(stage(shards.join(lists, "rep").groupBy("cluster", "i", "j").applyInArrow(_search(size.dim, least), LINKS), "links"))
+        links = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], LINKS)
+        named = links.where("b is not null and wa is not null").distinct()
+        counts = links.where("b is null").select(F.col("a").alias("rep"), F.col("wa").alias("w"))
+        counts = counts.union(named.select("a", "wa")).union(named.select("b", "wb")).groupBy("rep").agg(F.sum("w").alias("w"))
+        component = components(links.where("b is not null").select("a", "b")).toDF("rep", "component")
+        out = base.join(classes, "embedding", "left").join(counts, "rep", "left").join(component, "rep", "left")
+        out = out.withColumn("n_links", F.coalesce("w", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0)))
+        out = out.withColumn("component_id", F.coalesce("component", "rep", "vec_id"))
+        return keep(out.select("vec_id", F.col("n_links").cast("long"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")), "vectors")
 
 
 def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

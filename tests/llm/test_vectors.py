@@ -3,6 +3,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from factloom.llm import vectors
 
@@ -37,30 +38,56 @@ def sample(seed=0):
     return rows + [(10_001 + 2 * k, v) for k, v in enumerate(bad)]
 
 
-def test_against_all_pairs(spark, monkeypatch):
+def small(monkeypatch, size, block=2048, clusters=1024):
+    monkeypatch.setattr(vectors, "CLUSTER_SIZE", size)
+    monkeypatch.setattr(vectors, "SPLIT", 1)
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "CLUSTERS", clusters)
+
+
+@pytest.mark.parametrize("size, block, clusters", [(600, 2048, 1024), (60, 2048, 1024), (40, 2048, 3), (150, 40, 1024)])
+def test_against_all_pairs(spark, monkeypatch, size, block, clusters):
+    """Whole, split at once, split over levels, and as pairs of blocks."""
     rows = sample()
     want = brute(rows)
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], ROWS)
-    for size, block in ((600, 2048), (60, 2048), (150, 40)):
-        monkeypatch.setattr(vectors, "CLUSTER_SIZE", size)
-        monkeypatch.setattr(vectors, "BLOCK", block)
-        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
-        assert got.keys() == want.keys()
-        assert sum(n for n, *_ in got.values()) >= 0.97 * sum(n for n, *_ in want.values())
-        assert all(got[i][0] <= want[i][0] for i in want)
-        assert sum(got[i][1:] == want[i][1:] for i in want) >= len(want) - 3
-
-
-def test_audit_of_recall(spark):
-    """Every row whose id is divisible by 50 against all rows, in blocks: recall of the links."""
-    rows = [r for r in sample(1) if r[0] < 10_000]
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows], ROWS)
-    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
-    x = np.array([v for _, v in rows], np.float64)
+    small(monkeypatch, size, block, clusters)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
+    assert got.keys() == want.keys()
+    assert sum(n for n, *_ in got.values()) >= 0.97 * sum(n for n, *_ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i][1:] == want[i][1:] for i in want) >= len(want) - 3
+
+
+def test_audit_of_recall(spark, monkeypatch):
+    """Every row whose id is divisible by 50 against all rows, in blocks, over more than 50 clusters of two levels; links have two ends."""
+    small(monkeypatch, 60, clusters=20)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(150, 32))
+    x = (middle[rng.integers(0, 150, 5000)] + 0.3 * rng.normal(size=(5000, 32)) * rng.uniform(0.2, 1, (5000, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], ROWS)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    x = x.astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    queries = [k for k, (i, _) in enumerate(rows) if i % 50 == 0]
-    exact = (x[queries] @ x.T >= 0.95).sum(axis=1) - 1
-    assert sum(got[rows[k][0]] for k in queries) >= 0.9 * exact.sum()
+    exact = np.concatenate([(x[k : k + 500] @ x.T >= 0.95).sum(axis=1) - 1 for k in range(0, 5000, 500)])
+    found = np.array([got[k][0] for k in range(5000)])
+    asked = np.arange(0, 5000, 50)
+    few = exact < 20
+    print(f"recall {found[asked].sum() / exact[asked].sum():.4f}, of all rows {found.sum() / exact.sum():.4f}, of rows with few {found[few].sum() / exact[few].sum():.4f}")
+    assert (found <= exact).all() and found.sum() % 2 == 0
+    assert found[asked].sum() >= 0.95 * exact[asked].sum() and found[few].sum() >= 0.95 * exact[few].sum()
+    pairs = [c for c, n in __import__("collections").Counter(c for _, c in got.values()).items() if n == 2]
+    assert all(n == 1 for n, c in got.values() if c in set(pairs))
+
+
+def test_clusters_of_the_audit(spark, monkeypatch):
+    small(monkeypatch, 60, clusters=20)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, 1, rng.normal(size=16).astype("f4").tolist()) for i in range(5000)], "rep long, copies long, embedding array<float>")
+    shards = vectors._shards(df, 16, 0.95)
+    assert shards.select("cluster").distinct().count() > 50
+    homes = shards.where("home").groupBy("rep").count()
+    assert homes.count() == 5000 and homes.where("count <> 1").count() == 0
 
 
 def test_odd_rows(spark):
@@ -68,13 +95,15 @@ def test_odd_rows(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()), key=str)
     assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (None, 0, None, False)], key=str)
     assert vectors.near_vectors(spark.createDataFrame([], ROWS)).count() == 0
+    clash = df.selectExpr("*", "1 AS rep", "2 AS copies", "'x' AS home", "3 AS component_id")
+    assert vectors.near_vectors(clash).count() == 4
 
 
 def test_hot_third_over_many_clusters(spark, monkeypatch, tmp_path):
     """A third of the rows within 0.95 of each other, split over many centroids; VECTORS=120000 audits a large table."""
     n = int(os.environ.get("VECTORS", 3000))
     if "VECTORS" not in os.environ:
-        monkeypatch.setattr(vectors, "CLUSTER_SIZE", 30)
+        small(monkeypatch, 30)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(n, 64))
     x[: n // 3] = x[0] + 0.2 * rng.normal(size=(n // 3, 64))
