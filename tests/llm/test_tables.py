@@ -36,6 +36,68 @@ def test_shards_of_a_hot_group(spark):
     assert len(size) == 10 and max(abs(s - mean) for s in size.values()) < 0.02 * mean
 
 
+@pytest.mark.parametrize("fetch", [0, 20_000])
+def test_shards_against_a_plain_tree(spark, monkeypatch, fetch):
+    """The tree cut again by sorting rows; both ways of reading the cuts give it."""
+    monkeypatch.setattr(sharding, "FETCH", fetch)
+    rng = __import__("random").Random(5)
+    rows = [(i, "word " * rng.randint(1, 400) + str(i % 70 or i), rng.choice("abcde"), f"source {rng.randint(0, 30):02}", 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, node int").repartition(3)
+    got = {r.doc_id: (r.shard, r["size"]) for r in sharding.shard_documents(df, 8).collect()}
+    groups = defaultdict(list)
+    for i, t, lang, source, _ in rows:
+        groups[t].append((lang, source))
+    langs, sources = sorted({r[2] for r in rows}), sorted({r[3] for r in rows})
+    points = []
+    for i, t, *_ in rows:
+        size = len(t) + 16
+        points.append((i, zlib.crc32(t.encode()), size, {"lang": 1 + langs.index(min(g[0] for g in groups[t])), "source": 1 + sources.index(min(g[1] for g in groups[t])), "length": min(1023, int(__import__("math").log2(size) * 32))}))
+    extent = {d: max(p[3][d] for p in points) - min(p[3][d] for p in points) for d in ("lang", "source", "length")}
+    mean = sum(p[2] for p in points) / 8
+
+    def check(part, low, high):
+        """Rows of shards low to high, cut at the weighted median of their widest dimension, up to a tie's bytes."""
+        if high - low < 2:
+            return
+        middle = low + (high - low) // 2
+        width = {d: (max(p[3][d] for p in part) - min(p[3][d] for p in part)) / extent[d] for d in extent}
+        d = max(width, key=lambda k: (width[k], extent[k]))
+        left, right = [p for p in part if got[p[0]][0] < middle], [p for p in part if got[p[0]][0] >= middle]
+        assert max(p[3][d] for p in left) <= min(p[3][d] for p in right)
+        quota = sum(p[2] for p in part) * (middle - low) / (high - low)
+        assert abs(sum(p[2] for p in left) - quota) <= max(p[2] for p in part) / 2 + 2 * sharding.TOLERANCE * mean + max(p[2] for p in part)
+        check(left, low, middle)
+        check(right, middle, high)
+
+    check(points, 0, 8)
+    by_text = defaultdict(set)
+    for i, t, *_ in rows:
+        by_text[t].add(got[i][0])
+    assert max(map(len, by_text.values())) == 1
+
+
+def test_equal_rows_without_an_id_are_dealt_to_shards(spark):
+    """Rows that nothing tells apart, over many shards; clashing columns; groups of equal texts from many sources, some broadcast."""
+    df = spark.createDataFrame([(None, "the very same text", None, f"s{i % 50}", i) for i in range(3000)] + [(i, f"text {i % 40}", "en", f"s{i % 7}", i) for i in range(1000)], "doc_id long, text string, lang string, source string, shard int").withColumn("crc", __import__("pyspark").sql.functions.lit("x")).repartition(3)
+    size, slots = defaultdict(int), defaultdict(list)
+    for r in sharding.shard_documents(df, 10).collect():
+        size[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    mean = sum(size.values()) / 10
+    assert len(size) == 10 and max(abs(x - mean) for x in size.values()) < 0.05 * mean
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_cells_follow_the_order_of_values(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELLS", 20)
+    df = spark.createDataFrame([(f"v{i:04}", 1 + 500 * (i == 77)) for i in range(1000)] + [(None, 1)], "v string, w long")
+    got = sorted((r.v or "", r.c) for r in df.select("v", sharding.ranked(df, "v", "w").alias("c")).collect())
+    assert got[0] == ("", 0) and [c for _, c in got] == sorted(c for _, c in got) and got[-1][1] <= 20
+    cells = dict(got)
+    assert cells["v0077"] != cells["v0076"]  # a heavy value begins a cell
+    assert max(list(cells.values()).count(c) for c in set(cells.values())) < 400
+
+
 URLS = [None, "", "no scheme", "http://EXAMPLE.org/en/12#x", "https://a.b.example.org/es/?q", "https://org", "https://org/", "http://xorg/", "http://m.example.com/de/x", "http://example.com/fr", "ftp://x://example.com/de/", "https://spam-farm.example.net/a/b", "http://spam-farm.example.net?x", "http://www.spam-farm.example.net/", "http://x.net/\u00e9/", "://org/", "http://example.org./es/", "http://.org/"]
 
 
