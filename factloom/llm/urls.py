@@ -11,9 +11,9 @@ from .common import read
 
 #: Rules of the production list: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Listed canonical URLs; one that ends in / after its host stands for the whole host.
-LISTED = ("spam-farm.example.com/", "spam-farm.example.net/", "spam-farm.example.org/")
-#: Bits of the filter for each key, and blocks that may be broadcast (40 bytes each).
+#: Listed canonical URLs; one that ends in / after its host stands for the host and all its subdomains.
+LISTED = tuple(f"{name}.example.{top}/" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: Bits of the filter for each key, and its blocks at most (some 100 bytes each in a broadcast); with more keys than fit, bits a key grow fewer.
 BITS_A_KEY, BROADCAST_BLOCKS = 16, 1 << 18
 #: Listed keys that may be broadcast to the exact join.
 BROADCAST_KEYS = 200_000
@@ -41,8 +41,7 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
 
 def possible_hits(rows: DataFrame, filter_blocks: DataFrame, blocks: int) -> DataFrame:
     """Rows whose key may be in the filter: one block is looked up for each."""
-    table = F.broadcast(filter_blocks) if blocks <= BROADCAST_BLOCKS else filter_blocks
-    kept = rows.withColumn("block", _block(F.col("key"), blocks)).join(table, "block")
+    kept = rows.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(filter_blocks), "block")
     for i in range(8):
         kept = kept.where(F.col(f"w{i}").bitwiseAND(_mask(F.col("key"), i)) != 0)
     return kept.drop("block", *[f"w{i}" for i in range(8)])
@@ -53,19 +52,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFra
 
     rules: verdict, host, path; a rule fits its host and all subdomains if the url's path starts with the rule's; the
     longest wins (of equal length the first in order). listed: url, canonical (lower-case host and path without a last
-    slash); `host/` lists a whole host. A url that no rule fits is blocked if it or its host is listed, else allowed.
-
-    Each distinct url is expanded to the keys that a rule or listing could have (suffixes of the host, with path
-    prefixes as long as some rule's path; the canonical url; the host). The filter drops nearly all keys; what passes is
-    joined exactly, so a false positive changes nothing. Null urls and urls without :// have an empty host and path.
+    slash); `host/` lists a whole host with its subdomains. A url that no rule fits is blocked if it or its host is
+    listed, else allowed. Both tables may be of any size; repeated and null entries change nothing.
+
+    Each distinct url is expanded to the keys that a rule or listing could have (suffixes of the host, alone and with
+    path prefixes as long as some rule's path; the canonical url). The filter, at most BROADCAST_BLOCKS blocks, drops
+    nearly all keys; what passes is joined exactly, so a false positive changes nothing. Null urls and urls without ://
+    have an empty host and path and are allowed. Repeated rows and null page_ids are judged like others; an empty table
+    gives no rows; other columns are not read.
     """
     n = rules.count() + listed.count()
     lengths = [r.n for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]
     rule = F.concat("host", "path")
     keys = rules.select(F.concat(F.lit("r "), rule).alias("key"), rule.alias("rule"), "verdict").union(
-        listed.select(F.concat(F.lit("u "), "url").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
+        listed.select(F.when(F.col("url").rlike("^[^/]*/$"), F.concat(F.lit("h "), F.rtrim("url", F.lit("/")))).otherwise(F.concat(F.lit("u "), "url")).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
     )
-    blocks = max(1, math.ceil(n * BITS_A_KEY / 256))
+    keys = keys.where("key is not null").distinct()
+    blocks = min(BROADCAST_BLOCKS, max(1, math.ceil(n * BITS_A_KEY / 256)))
     host = F.translate(F.regexp_extract("url", _URL, 1), _UPPER, _LOWER)
     urls = pages.select("url").where("url is not null").distinct().select("url", host.alias("host"), F.regexp_extract("url", _URL, 2).alias("path"))
     labels = F.split("host", r"\.")
@@ -75,7 +78,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFra
     )
     by_rule = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit("r "), s, p))))
     canonical = F.concat(F.lit("u "), F.col("host"), F.regexp_replace("path", "/$", ""))
-    tried = urls.where("host <> ''").select("url", F.explode(F.array_distinct(F.concat(by_rule, F.array(canonical, F.concat(F.lit("u "), F.col("host"), F.lit("/")))))).alias("key"))
+    by_host = F.transform(suffixes, lambda s: F.concat(F.lit("h "), s))
+    tried = urls.where("host <> ''").select("url", F.explode(F.array_distinct(F.concat(by_rule, by_host, F.array(canonical)))).alias("key"))
     hits = possible_hits(tried, bloom_blocks(keys, blocks), blocks).join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key")
     best = F.min(F.when(F.col("rule").isNotNull(), F.struct(-F.length("rule"), F.col("rule"), F.col("verdict")))).alias("best")
     judged = hits.groupBy("url").agg(best).select("url", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("block")).alias("verdict"))
@@ -107,10 +111,12 @@ u AS (SELECT DISTINCT host, path FROM p),
 fit AS (
   SELECT u.host, u.path, r.host || r.path AS rule, r.verdict,
     row_number() OVER (PARTITION BY u.host, u.path ORDER BY length(r.host || r.path) DESC, r.host || r.path) AS n
-  FROM u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+  FROM u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)),
+hit AS (
+  SELECT DISTINCT u.host, u.path, true AS blocked
+  FROM u JOIN listed ON CASE WHEN regexp_matches(url, '^[^/]*/$') THEN u.host || '/' = url OR ends_with(u.host || '/', '.' || url) ELSE u.host || regexp_replace(u.path, '/$', '') = url END
+  WHERE u.host <> '')
 SELECT p.page_id, p.host, p.path, fit.rule,
-  CASE WHEN fit.rule IS NOT NULL THEN fit.verdict
-       WHEN p.host || regexp_replace(p.path, '/$', '') IN (SELECT url FROM listed) OR p.host || '/' IN (SELECT url FROM listed) THEN 'block'
-       ELSE 'allow' END AS verdict
-FROM p LEFT JOIN fit ON fit.host = p.host AND fit.path = p.path AND fit.n = 1
+  CASE WHEN fit.rule IS NOT NULL THEN fit.verdict WHEN hit.blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN fit ON fit.host = p.host AND fit.path = p.path AND fit.n = 1 LEFT JOIN hit ON hit.host = p.host AND hit.path = p.path
 """

@@ -98,7 +98,7 @@ def test_cells_follow_the_order_of_values(spark, monkeypatch):
     assert max(list(cells.values()).count(c) for c in set(cells.values())) < 400
 
 
-URLS = [None, "", "no scheme", "http://EXAMPLE.org/en/12#x", "https://a.b.example.org/es/?q", "https://org", "https://org/", "http://xorg/", "http://m.example.com/de/x", "http://example.com/fr", "ftp://x://example.com/de/", "https://spam-farm.example.net/a/b", "http://spam-farm.example.net?x", "http://www.spam-farm.example.net/", "http://x.net/\u00e9/", "://org/", "http://example.org./es/", "http://.org/"]
+URLS = [None, "", "no scheme", "http://EXAMPLE.org/en/12#x", "https://a.b.example.org/es/?q", "https://org", "https://org/", "http://xorg/", "http://m.example.com/de/x", "http://example.com/fr", "ftp://x://example.com/de/", "https://spam-farm.example.net/a/b", "http://spam-farm.example.net?x", "http://www.spam-farm.example.net/", "http://x.net/\u00e9/", "://org/", "http://example.org./es/", "http://.org/", "http://m.casino-win.example.com/x/", "http://notcasino-win.example.com/x", "https://free-bets.example.net:80/"]
 
 
 def test_urls_against_sql(spark):
@@ -122,12 +122,22 @@ def test_bloom_has_no_false_negatives(spark):
 
 
 def test_urls_with_large_lists_and_none(spark, monkeypatch):
-    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", 0)
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", 1)  # a filter far too small for its keys
     monkeypatch.setattr(urls, "BROADCAST_KEYS", 0)
     test_urls_against_sql(spark)
     pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     empty = urls.judge_urls(pages, spark.createDataFrame([], "verdict string, host string, path string"), spark.createDataFrame([], "url string")).collect()
     assert [tuple(r) for r in empty] == [(1, "a.org", "/x", None, "allow")]
+    assert urls.judge_urls(pages.limit(0), spark.createDataFrame(list(urls.RULES), "verdict string, host string, path string"), spark.createDataFrame([(None,)], "url string")).count() == 0
+
+
+def test_a_list_of_300_000_urls(spark):
+    """Beyond what the exact join broadcasts: pages on the list, of listed hosts and their subdomains, and none of the others."""
+    listed = spark.range(300_000).selectExpr("CASE WHEN id % 3 = 0 THEN concat('host', id, '.net/') ELSE concat('site.net/page/', id) END AS url")
+    pages = spark.range(6000).selectExpr("id AS page_id", "CASE id % 4 WHEN 0 THEN concat('https://a.b.host', id * 30, '.net/some/path') WHEN 1 THEN concat('http://SITE.net/page/', id, '/?q=1') WHEN 2 THEN concat('http://nothost', id * 3, '.net/') ELSE concat('http://site.net/other/', id) END AS url", "'x' AS rule")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(pages, spark.createDataFrame([], "verdict string, host string, path string"), listed).collect()}
+    want = {k: "block" if (k % 4 == 0 and k * 30 < 300_000) or (k % 4 == 1 and k % 3) else "allow" for k in range(6000)}
+    assert got == want
 
 
 @pytest.mark.parametrize("name", ["docs", "odd"])
