@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, fold_case, keep, mix64, read, row_slices, scratch, span_hashes, spans, stage, text_slices
+from .common import drop_stage, few, fold_case, mix64, read, row_slices, scratch, span_hashes, spans, stage, text_slices
 
 #: The band: terms in this share of all documents, at least and at most. The lower bound limits the lexicon to
 #: (mean distinct terms of a document) / LEAST_SHARE terms, whatever the number of documents, so it may be broadcast.
@@ -176,7 +176,10 @@ def edited_likeness(docs: DataFrame, band: np.ndarray) -> DataFrame:
     shared = spark.sparkContext.broadcast((band, *cuts))
     copied = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= COPIES), "copied")
     base = base.withColumn("copies", F.lit(1).cast("long"))
-    if not copied.isEmpty():
+    drop_stage(keys)
+    if alone := copied.isEmpty():
+        drop_stage(copied)
+    else:
         these = few(copied.select("key"), 100_000)
         one = base.join(these, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.sum("copies").alias("copies"))
         base = base.join(these, "key", "left_anti").unionByName(one)
@@ -230,12 +233,11 @@ def edited_likeness(docs: DataFrame, band: np.ndarray) -> DataFrame:
 
     rows = base.select("doc_id", "key", "text", "copies").mapInArrow(deal, "run int, after int, doc_id long, key string, text string, copies long")
     out = rows.repartitionById(runs, F.col("run")).sortWithinPartitions("run", "after", "key").mapInArrow(run, f"{kind}, times long")
-    if copied.isEmpty():
+    if alone:
         return out.drop("times")
     return out.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "time")
 
 
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    with scratch(spark):
-        return keep(edited_likeness(docs, lexicon(docs)), "likeness")
+    return edited_likeness(docs, lexicon(docs))
