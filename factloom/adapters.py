@@ -75,7 +75,7 @@ FROM (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGI
 """
 
 LABELS = """
-SELECT concat(w.pre, p_name, w.post) AS label FROM {part} CROSS JOIN (VALUES ('1. ', ''), ('(ii) Other ', ' (net)'), ('Consolidated ', '/(loss) for the year'), ('', ' (refer note 5)'), ('iv) ', ' (non-current) *')) AS w(pre, post) WHERE p_partkey % 20 = 3
+SELECT concat(w.pre, p_name, w.post) AS label FROM {part} CROSS JOIN (VALUES ('1. ', ''), ('(ii) Other ', ' (net)'), ('Consolidated ', '/(loss) for the year'), ('', ' (refer note 5)'), ('iv) ', ' (non-current) *')) AS w(pre, post)
 UNION ALL SELECT v.label FROM (VALUES ('Revenue from operations'), ('Turnover'), ('Other current liabilities'), ('Total Assets'), ('TOTAL EQUITY AND LIABILITIES'), ('Profit/(Loss) before tax'), ('1. Trade Receivables'), ('Net profit after minority interest'), ('Net increase/(decrease) in cash & cash equivalents'), ('Consolidated net profit for the year'), ('Profit for the year, representing total comprehensive income for the year'), ('eq'), ('Equity'), ('Assets total'), ('Earnings per share (basic)')) AS v(label)
 """
 
@@ -90,14 +90,21 @@ def _tables(sql: str, spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names if "{" + t + "}" in sql}
 
 
+def _filled(sql: str) -> str:
+    """Puts in the relations that others are made of."""
+    for name, text in (("pages", PAGES), ("rows", ROWS), ("obs", OBS)):
+        sql = sql.replace("({" + name + "})", f"({text})")
+    return sql
+
+
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    sql = sql.replace("{obs}", OBS)
+    sql = _filled(sql)
     return spark.sql(sql, **_tables(sql, spark, sf_dir))
 
 
 def oracle(sql: str) -> str:
     """The text that DuckDB runs: tables by their own names."""
-    sql = sql.replace("{obs}", OBS)
+    sql = _filled(sql)
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"):
         sql = sql.replace("{" + t + "}", t)
     return sql
@@ -147,6 +154,9 @@ def statement_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SCANNED = "SELECT doc, page, replace(replace(text, ' 1', '  1'), ' 2', '  2') AS text FROM ({pages}) AS p"
+
+
 ROWS = """
 SELECT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS doc, 0 AS page, 0 AS half, CAST(l_linenumber * 8 + w.i AS INT) AS word_idx,
   CASE w.i WHEN 0 THEN 'Item' WHEN 1 THEN concat('part', CAST(l_partkey % 7 AS VARCHAR(20))) WHEN 2 THEN CASE l_partkey % 3 WHEN 0 THEN '−' WHEN 1 THEN '12' ELSE 'x' END
@@ -154,3 +164,32 @@ SELECT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS doc, 0 AS page, 0 AS half
   CAST(40 * w.i AS DOUBLE) AS x0, CAST(40 * w.i + CASE WHEN l_partkey % 2 = 0 THEN 38 ELSE 5 END AS DOUBLE) AS x1, CAST(12 * l_linenumber AS DOUBLE) + CASE WHEN w.i = 4 THEN 1 ELSE 0 END AS top
 FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS l CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS w(i)
 """
+
+#: Half pages of the line parser: text lines, rows with and without labels, closing and ordinary ones, by order and line number.
+BLOCKS = """
+SELECT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS doc, 0 AS page, 0 AS half, CAST(l_linenumber * 8 + w.i AS INT) AS word_idx,
+  CASE WHEN w.i = 0 THEN CASE k WHEN 0 THEN 'Stock' WHEN 1 THEN 'Total' WHEN 2 THEN 'total' WHEN 3 THEN 'Net' WHEN 4 THEN 'wrapped' WHEN 5 THEN 'Current' WHEN 6 THEN 'Non-current' WHEN 7 THEN 'Notes' ELSE CAST(1000 + p AS VARCHAR(20)) END
+    WHEN w.i = 1 THEN CASE k WHEN 2 THEN 'assets' WHEN 3 THEN 'sales' WHEN 4 THEN 'end' WHEN 5 THEN 'assets' WHEN 6 THEN 'liabilities' ELSE CAST(p AS VARCHAR(20)) END
+    ELSE concat(CAST(p AS VARCHAR(20)), ',500') END AS text,
+  CAST(40 * w.i AS DOUBLE) AS x0, CAST(40 * w.i + 30 AS DOUBLE) AS x1, CAST(12 * l_linenumber AS DOUBLE) AS top
+FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p, max(l_partkey) % 11 AS k FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS l CROSS JOIN (VALUES (0), (1), (2)) AS w(i)
+WHERE NOT (k IN (5, 6, 7) AND w.i = 2) AND NOT (k = 7 AND w.i = 1)
+"""
+#: Header rows above the rows of ROWS: reference headings, years and the names of bases, at places that vary with the order.
+HEADED = """
+SELECT doc, page, half, word_idx, text, x0, x1, top FROM ({rows}) AS below
+UNION ALL
+SELECT concat('o', CAST(o_orderkey AS VARCHAR(20))), 0, 0, CAST(-10 + w.i AS INT), CASE w.i WHEN 0 THEN CASE o_custkey % 3 WHEN 0 THEN 'Note' WHEN 1 THEN 'Schedule' ELSE 'Item' END WHEN 1 THEN '2025' WHEN 2 THEN '(2024)' WHEN 3 THEN CASE o_custkey % 2 WHEN 0 THEN 'Standalone' ELSE 'Separate' END ELSE CASE o_custkey % 5 WHEN 0 THEN 'Group' ELSE 'Consolidated' END END,
+  CAST(CASE WHEN w.i < 3 THEN 40 * (w.i + o_custkey % 4) ELSE 60 * (w.i - 3) + o_custkey % 50 END AS DOUBLE), CAST(CASE WHEN w.i < 3 THEN 40 * (w.i + o_custkey % 4) + 20 ELSE 60 * (w.i - 3) + o_custkey % 50 + 50 END AS DOUBLE), CAST(CASE WHEN w.i < 3 THEN 1 ELSE 5 END AS DOUBLE)
+FROM {orders} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS w(i)
+"""
+#: Page specs like 3,5-9 by order.
+SPECS = """
+SELECT DISTINCT concat(CAST(o_custkey % 50 AS VARCHAR(20)), ',', CAST(o_orderkey % 40 AS VARCHAR(20)), '-', CAST(o_orderkey % 40 + o_custkey % 9 AS VARCHAR(20)), ',', CAST(o_custkey % 50 AS VARCHAR(20))) AS spec FROM {orders}
+"""
+
+STATEMENT_WORDS_SQL = f"""
+SELECT doc, page, 0 AS half, CAST(n * 1000 + k AS INT) AS word_idx, text, CAST(20 + 5 * (k + length(array_to_string(words[1:k], ''))) AS DOUBLE) AS x0, CAST(20 + 5 * (k + length(array_to_string(words[1:k + 1], ''))) AS DOUBLE) AS x1, CAST(20 + 14 * n AS DOUBLE) AS top
+FROM (SELECT doc, page, n, words, unnest(words) AS text, unnest(range(len(words))) AS k FROM (SELECT doc, page, n, string_split(line, ' ') AS words FROM (SELECT doc, page, unnest(ls) AS line, unnest(range(len(ls))) AS n FROM (SELECT doc, page, string_split(text, chr(10)) AS ls FROM ({oracle(PAGES)})))))
+WHERE text <> ''
+"""

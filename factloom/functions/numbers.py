@@ -11,15 +11,29 @@ NUMERIC = r"^[0-9,().%\-−–—]+$"
 PLACEHOLDERS = ["-", "−", "–", "—"]
 
 
+#: White space that may stand around a token, and what counts as a number once separators are gone (as read by float()).
+BLANK = " \t\n\x0b\x0c\r\x85\xa0\u2007\u202f"
+FLOAT = r"[+-]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?"
+#: The same after at most one minus, which is counted apart.
+NUMBER = rf"^(?:-\s*)?({FLOAT})$"
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_number(tok: Column) -> Column:
-    """a report's number token as a double; null where it is none. (x) and a leading minus are negative."""
-    t = F.translate(F.rtrim(F.trim(tok), F.lit("*#†")), "−–—", "---")
-    wrapped = t.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(F.when(wrapped, F.regexp_replace(t, r"^\(|\)$", "")).otherwise(t), r"[, %]", "")
-    minus = bare.startswith("-")
-    digits = F.when(minus, F.substring(bare, 2, 1 << 20)).otherwise(bare)
-    value = F.when(digits.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"), digits.try_cast("double"))
-    return F.when(t.rlike("[0-9]"), F.when(wrapped != minus, -value).otherwise(value))
+    """a report's number token as a double; null where it is none.
+
+    Marks (* # and daggers) after it go, and commas, percent signs and parentheses around it. A number in parentheses or
+    with a leading minus (of any kind) is negative; both together are so once.
+    """
+    blank = F.lit(BLANK)
+    t = F.translate(F.rtrim(F.btrim(tok, blank), F.lit("*#†")), "−–—", "---")
+    bare = F.btrim(F.translate(F.btrim(t, F.lit("()")), ",%", ""), blank)
+    number = F.translate(F.regexp_extract(bare, NUMBER, 1), "_", "").try_cast("double")
+    return number * F.when(t.rlike(r"(?s)^\(.*\)$") | bare.startswith("-"), -1.0).otherwise(1.0)
 
 
 def is_numeric(tok: Column) -> Column:
@@ -33,16 +47,15 @@ def is_placeholder(tok: Column) -> Column:
 
 
 def is_note_ref(tok: Column, following: Column, label: Column) -> Column:
-    """Whether the first number of a row is a note reference; `following` is the next token or null."""
+    """Whether the first number of a row is a note reference; `following` is the next token's number or null."""
     t = F.trim(tok)
-    jump = F.coalesce(F.abs(parse_number(following)) >= NOTE_FACTOR * t.try_cast("double"), F.lit(False))
+    jump = F.coalesce(F.abs(following) >= NOTE_FACTOR * t.try_cast("double"), F.lit(False))
     return F.when(F.coalesce(label, F.lit("")).rlike(r"\d[a-z()]*\s*$"), F.lit(False)).when(t.rlike(r"^\d{1,2}$"), F.lit(True)).when(t.rlike(r"^(\d{3}|\d{1,2}\.\d{1,2})$"), jump).otherwise(F.lit(False))
 
 
-def is_page_ref(tok: Column, following: Column) -> Column:
-    """Whether the number after a note reference is a page reference."""
-    n = F.trim(F.coalesce(following, F.lit("")))
-    return F.trim(tok).rlike(r"^\d{1,3}$") & n.rlike("[.,]") & parse_number(n).isNotNull()
+def is_page_ref(tok: Column, following: Column, number: Column) -> Column:
+    """Whether the number after a note reference is a page reference; `following` is the next token, `number` its number."""
+    return F.trim(tok).rlike(r"^\d{1,3}$") & F.coalesce(following, F.lit("")).rlike("[.,]") & number.isNotNull()
 
 
 def within(a: Column, b: Column) -> Column:

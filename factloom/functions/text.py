@@ -11,7 +11,7 @@ from ..plans.dims import PERIOD, UNITS
 
 # What may stand in a label's parentheses or after its slash without being part of its identity.
 QUALIFIER = r"(?:loss(?:es)?|decrease|used in|in rupees|rs\.?|net of [^)]*|refer[^)]*|notes?\s*[\d., ]*|continued|face value[^)]*|[a-z](?:\s*\+\s*[a-z])*)"
-#: Replacements of F2 in order; $2 keeps what a look-ahead would have left.
+# Replacements that make a label comparable, in order; $2 keeps what follows the qualifier.
 CLEANING = [
     (rf"/\s*\(?({QUALIFIER})\)?([\s)]|$)", " $2"),
     (rf"\(\s*{QUALIFIER}\s*\)", " "),
@@ -21,9 +21,13 @@ CLEANING = [
     (r"[^a-z()/'& -]", " "),
     (r"\s+", " "),
 ]
+# A money figure; a year heading; the heading of a reference column; words that make a heading a summary.
 FIGURE = r"\d[\d,]{4,}|\d[\d,]*\.\d{2}\b"
 YEAR_TOKEN = r"^\(?(?:19|20)\d{2}\)?$"
 REF_HEADER = r"(?i)^(?:notes?|schedule|sch|page|ref)\.?$"
+SUMMARY = "condensed|summaris|summariz|abridged"
+# How a text names its basis.
+CONSOLIDATED, STANDALONE = r"consolidated|\bgroup\b", r"standalone|\bseparate\b"
 
 
 def clean_label(label: Column) -> Column:
@@ -57,7 +61,7 @@ def detect_unit(text: Column) -> Column:
     t = F.lower(text)
     found = lambda unit, currency, times, raw: F.struct(F.lit(unit).alias("unit"), F.lit(currency).alias("currency"), F.lit(times).alias("multiplier"), raw.alias("raw"))
     cases = [F.when(t.rlike(p), found(u, c, m, F.regexp_extract(t, p, 0))) for p, u, c, m in UNITS]
-    return F.coalesce(*cases, found("Units", "UNKNOWN", 1.0, F.lit("")))
+    return F.coalesce(*cases, found("Units", "UNKNOWN", 1.0, F.lit("default")))
 
 
 def detect_periods(text: Column) -> Column:

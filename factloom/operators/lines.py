@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import is_numeric, is_placeholder
-from ..functions.text import REF_HEADER, YEAR_TOKEN, section_name
+from ..functions.numbers import is_numeric, is_placeholder, let
+from ..functions.text import CONSOLIDATED, REF_HEADER, STANDALONE, YEAR_TOKEN, section_name
 from ..plans.dims import MAX_VALUE_COLUMNS, MIN_SPREAD, REF_MARGIN
 from .layout import HALF, line_text
 
@@ -44,60 +44,93 @@ def value_floors(lines: DataFrame) -> DataFrame:
 
 
 def basis_ranges(lines: DataFrame) -> DataFrame:
-    """Per half page the x ranges of basis columns declared in its first 12 lines (midpoints between neighbours, open ends)."""
+    """Per half page the x ranges of basis columns declared in its first 12 lines; open ends.
+
+    Neighbours part halfway between the left one's end, 150 points on, and the right one's start, yet never right of
+    that start, so that numbers below a heading are its own where headings stand close.
+    """
     declared = lines.where("line_no <= 12").where(F.lower(line_text(F.col("toks"))).rlike("standalone|consolidated|separate|group"))
     words = declared.select(*HALF, "line_no", F.explode("toks").alias("t")).withColumn("low", F.lower("t.text"))
-    basis = F.when(F.col("low").rlike(r"standalone|\bseparate\b"), "standalone").when(F.col("low").rlike(r"consolidated|\bgroup\b"), "consolidated")
+    basis = F.when(F.col("low").rlike(STANDALONE), "standalone").when(F.col("low").rlike(CONSOLIDATED), "consolidated")
     found = words.withColumn("basis", basis).where("basis is not null").select(*HALF, "basis", F.col("t.x0").alias("x0"), (F.col("t.x1") + 150).alias("x1"), "line_no", F.col("t.word_idx").alias("word_idx"))
     order = Window.partitionBy(*HALF).orderBy("x0", "line_no", "word_idx")
-    before, after = (F.lag("x1").over(order) + F.col("x0")) / 2, (F.col("x1") + F.lead("x0").over(order)) / 2
+    left, right = F.lag("x1").over(order), F.lead("x0").over(order)
+    before = F.when(left.isNotNull(), F.least((left + F.col("x0")) / 2, F.col("x0")))
+    after = F.when(right.isNotNull(), F.least((F.col("x1") + right) / 2, right))
     found = found.select(*HALF, "basis", F.coalesce(before, F.lit(0.0)).alias("x0"), F.coalesce(after, F.lit(9999.0)).alias("x1"))
     return found.groupBy(*HALF).agg(F.collect_list(F.struct("basis", "x0", "x1")).alias("ranges"))
 
 
-def _unless_empty(kept: Column, whole: str) -> Column:
-    return F.when(F.size(kept) > 0, kept).otherwise(F.col(whole))
+def _unless_empty(kept: Column, whole: Column) -> Column:
+    return F.when(F.size(kept) > 0, kept).otherwise(whole)
 
 
-def raw_items(lines: DataFrame, want_basis: str | None = None) -> DataFrame:
-    """doc, page, half, item_seq, label, values, side: the rows that the line parser reads.
+def in_columns(nums: Column, ranges: Column, basis: Column) -> Column:
+    """The numbers in the columns that a page declares for a basis; all where it declares none, or none lies there."""
+    mine = F.filter(ranges, lambda r: r["basis"] == basis)
+    kept = F.filter(nums, lambda t: F.exists(mine, lambda r: (r["x0"] <= t["x0"]) & (t["x0"] <= r["x1"])))
+    return F.when(F.coalesce(F.size(mine), F.lit(0)) > 0, _unless_empty(kept, nums)).otherwise(nums)
+
+
+#: What the fold over a half page's lines carries: the text line just above, the last heading, the side it lies on, the
+#: open block's heading, an unlabelled row that may be the block's subtotal, and the rows made.
+_ROW = "struct<seq: bigint, label: string, nums: array<struct<x0: double, text: string>>, side: string>"
+_STATE = f"struct<above: string, section: string, side: string, block: string, open: {_ROW}, made: array<{_ROW}>>"
+
+
+def _read(state: Column, line: Column) -> Column:
+    """The state after a line."""
+
+    def after(above, section, side, block, open_, *made) -> Column:
+        return F.struct(above.alias("above"), section.alias("section"), side.alias("side"), block.alias("block"), open_.alias("open"), F.concat(state["made"], *made).alias("made"))
+
+    def row(label: Column) -> Column:
+        return F.struct(line["seq"].alias("seq"), label.alias("label"), line["nums"].alias("nums"), state["side"].alias("side"))
+
+    none, no_row = F.lit(None).cast("string"), F.lit(None).cast(_ROW)
+    settled = F.when(state["open"].isNotNull(), F.array(state["open"])).otherwise(F.array().cast(f"array<{_ROW}>"))
+    wrapped = F.when(line["label"].rlike(r"^\p{Ll}") & state["above"].isNotNull(), F.concat_ws(" ", state["above"], line["label"])).otherwise(line["label"])
+    bare_total = lambda x: F.when(x.rlike("(?i)^(total|basic|diluted):?$") & (F.coalesce(state["section"], F.lit("")) != ""), F.concat_ws(" ", F.rtrim(x, F.lit(":")), state["section"])).otherwise(x)
+
+    def item(label: Column) -> Column:
+        closed = F.when(label.rlike(r"(?i)^(total|net)\b"), settled).otherwise(F.array().cast(f"array<{_ROW}>"))
+        return after(none, state["section"], state["side"], F.when(~label.rlike(r"(?i)^total\b"), state["block"]), no_row, closed, F.array(row(label)))
+
+    subtotal = after(none, state["section"], state["side"], state["block"], row(F.concat(F.lit("total "), state["block"])))
+    heading = after(line["label"], line["section"], F.coalesce(line["side"], state["side"]), F.when(line["side"].isNotNull(), line["section"]).otherwise(state["block"]), no_row, settled)
+    return F.when(line["kind"] == "item", let(wrapped, lambda w: let(bare_total(w), item))).when(line["kind"] == "text", heading).when(state["block"].isNotNull(), subtotal).otherwise(state).cast(_STATE)
 
-    The parser's carried state (last heading, side, open block, buffered subtotal, wrapped label) becomes windows over a
-    half page's lines. Whether a row closes a block depends on its wrapped label and a wrapped label on the lines that
-    count, so both are worked out twice.
+
+def parse_rows(lines: DataFrame) -> DataFrame:
+    """doc, page, half, item_seq, label, nums (x0, text), side: the rows that the line parser reads.
+
+    A half page's lines are folded in order over one array, with the parser's carried state: a wrapped label takes the
+    text line above it, bare totals take the last heading, sides carry on, and an unlabelled row within a block is its
+    subtotal if a text line, a total or the end of the page comes next (of several the last; a labelled row drops it).
     """
     rows = split_label(lines).join(value_floors(lines), HALF, "left")
-    rows = rows.withColumn("nums", F.when(F.col("floor").isNotNull(), _unless_empty(F.filter("nums", lambda t: t["x0"] >= F.col("floor")), "nums")).otherwise(F.col("nums")))
-    if want_basis:
-        rows = rows.join(basis_ranges(lines), HALF, "left")
-        mine = F.filter("ranges", lambda r: r["basis"] == want_basis)
-        kept = F.filter("nums", lambda t: F.exists(mine, lambda r: (r["x0"] <= t["x0"]) & (t["x0"] <= r["x1"])))
-        rows = rows.withColumn("nums", F.when(F.coalesce(F.size(mine), F.lit(0)) > 0, _unless_empty(kept, "nums")).otherwise(F.col("nums")))
+    right = F.filter("nums", lambda t: t["x0"] >= F.col("floor"))
+    rows = rows.withColumn("nums", F.when(F.col("floor").isNotNull(), _unless_empty(right, F.col("nums"))).otherwise(F.col("nums")))
     has_label, has_nums = F.col("label") != "", F.size("nums") > 0
     rows = rows.withColumn("kind", F.when(has_label & has_nums, "item").when(has_nums, "bare").when(has_label, "text")).where("kind is not null")
-    order = Window.partitionBy(*HALF).orderBy("line_no")
-    past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     section = F.when(F.col("kind") == "text", section_name(F.col("label")))
-    side = F.when(section.rlike("non[- ]current"), "non-current").when(section.contains("current"), "current")
-    rows = rows.withColumns({"own_section": section, "own_side": side})
-    rows = rows.withColumns({"section": F.last("own_section", True).over(past), "side": F.last("own_side", True).over(past)})
-
-    def wrap(df: DataFrame) -> DataFrame:
-        lower = F.col("label").rlike(r"^\p{Ll}")
-        joined = (F.col("kind") == "item") & (F.lag("kind").over(order) == "text") & lower
-        df = df.withColumn("full", F.when(joined, F.concat_ws(" ", F.lag("label").over(order), "label")).otherwise(F.col("label")))
-        bare = F.col("full").rlike("(?i)^(total|basic|diluted):?$") & F.col("section").isNotNull() & (F.col("section") != "") & (F.col("kind") == "item")
-        return df.withColumn("full", F.when(bare, F.concat_ws(" ", F.rtrim("full", F.lit(":")), "section")).otherwise(F.col("full")))
-
-    def block(df: DataFrame) -> DataFrame:
-        event = F.when(F.col("own_side").isNotNull(), F.struct(F.col("own_section").alias("h"))).when((F.col("kind") == "item") & F.col("full").rlike(r"(?i)^total\b"), F.struct(F.lit(None).cast("string").alias("h")))
-        return df.withColumn("event", event).withColumn("heading", F.last("event", True).over(past)["h"])
-
-    rows = block(wrap(rows))
-    rows = rows.where(~((F.col("kind") == "bare") & F.col("heading").isNull()))  # rows that change nothing
-    rows = block(wrap(rows))
-    closes = (F.col("kind") == "text") | ((F.col("kind") == "item") & F.col("full").rlike(r"(?i)^(total|net)\b"))
-    rows = rows.withColumn("closes", closes).withColumn("ends", F.coalesce(F.lead("closes").over(order), F.lit(True)))
-    rows = rows.where((F.col("kind") == "item") | ((F.col("kind") == "bare") & F.col("ends")))
-    label = F.when(F.col("kind") == "bare", F.concat(F.lit("total "), "heading")).otherwise(F.col("full"))
-    return rows.select(*HALF, F.col("line_no").alias("item_seq"), label.alias("label"), F.transform("nums", lambda t: t["text"]).alias("values"), "side")
+    rows = rows.withColumn("section", section).withColumn("side", F.when(F.col("section").rlike("non[- ]current"), "non-current").when(F.col("section").contains("current"), "current"))
+    nums = F.transform("nums", lambda t: F.struct(t["x0"].alias("x0"), t["text"].alias("text"))).alias("nums")
+    halves = rows.groupBy(*HALF).agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").cast("long").alias("seq"), "kind", "label", nums, "section", "side"))).alias("all"))
+    start = F.from_json(F.lit('{"made": []}'), _STATE)
+    end = F.aggregate("all", start, _read)
+    made = F.concat(end["made"], F.when(end["open"].isNotNull(), F.array(end["open"])).otherwise(F.array().cast(f"array<{_ROW}>")))
+    return halves.select(*HALF, F.explode(made).alias("r")).select(*HALF, F.col("r.seq").alias("item_seq"), "r.label", "r.nums", "r.side")
+
+
+def values_of(nums: Column) -> Column:
+    return F.transform(nums, lambda t: t["text"])
+
+
+def raw_items(lines: DataFrame, want_basis: str | None = None) -> DataFrame:
+    """parse_rows() with the values' texts, of the columns of want_basis where a page declares them."""
+    rows, nums = parse_rows(lines), F.col("nums")
+    if want_basis:
+        rows = rows.join(basis_ranges(lines), HALF, "left")
+        nums = in_columns(nums, F.col("ranges"), F.lit(want_basis))
+    return rows.select(*HALF, "item_seq", "label", values_of(nums).alias("values"), "side")

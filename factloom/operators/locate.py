@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import distinct_years, figure_count, is_heading, search
+from ..functions.text import CONSOLIDATED, STANDALONE, SUMMARY, distinct_years, figure_count, is_heading, search, text_quality
 from ..plans.dims import SIGNATURES
 
 
@@ -15,6 +15,29 @@ def _hits(text: Column, patterns: list[str], how=lambda t, p: t.rlike(p)) -> Col
     return reduce(lambda a, b: a + b, [how(text, p).cast("int") for p in patterns])
 
 
+def readable(pages: DataFrame) -> DataFrame:
+    """Pages whose text is not EMPTY."""
+    return pages.where(text_quality(F.col("text")) != "EMPTY")
+
+
+def continues(pages: DataFrame, code: str, signatures=SIGNATURES) -> DataFrame:
+    """Pages with `continues`: whether one may go on with a statement (a cue of it and 8 figures)."""
+    t = F.lower("text")
+    return pages.withColumn("continues", t.rlike("|".join(signatures[code][1])) & (figure_count(t) >= 8))
+
+
+def beside(pages: DataFrame) -> DataFrame:
+    """Logical pages with `same_page`: whether a neighbour in the document is a half of the same physical page."""
+    order = Window.partitionBy("doc").orderBy("logical_idx")
+    return pages.withColumn("same_page", F.lag("page").over(order).eqNullSafe(F.col("page")) | F.lead("page").over(order).eqNullSafe(F.col("page")))
+
+
+def text_sample(pages: DataFrame, first: int = 15) -> DataFrame:
+    """Per document the text of its first pages, in order; it names the unit and the periods."""
+    texts = F.array_sort(F.collect_list(F.struct("page", "logical_idx", "text")))
+    return pages.where(F.col("page") < first).groupBy("doc").agg(F.array_join(F.transform(texts, lambda p: p["text"]), " ").alias("sample"))
+
+
 def score_pages(pages: DataFrame, signatures=SIGNATURES, head_lines: int = 6) -> DataFrame:
     """O3: pages (doc, logical_idx, text) times statements: score, basis, headed; 0 where disqualified.
 
@@ -30,12 +53,12 @@ def score_pages(pages: DataFrame, signatures=SIGNATURES, head_lines: int = 6) ->
 
     rows = F.explode(F.array(*[found(c, *s) for c, s in signatures.items()])).alias("s")
     rows = base.select("doc", "page", "logical_idx", "t", "figures", "years", rows).select("*", "s.*")  # what follows reads finished columns
-    rows = rows.withColumn("line", F.when(~F.col("line").rlike("condensed|summaris|summariz|abridged"), F.col("line")))
+    rows = rows.withColumn("line", F.when(~F.col("line").rlike(SUMMARY), F.col("line")))
     line, headed = F.col("line"), F.col("line").isNotNull()
     out = (F.col("title") == 0) | (F.col("cues") < 2) | (F.col("figures") < 8) | (F.col("years") >= F.when(headed, 10).otherwise(6))
     basis = (
-        F.when(line.rlike(r"consolidated|\bgroup\b"), "consolidated")
-        .when(line.rlike(r"standalone|\bseparate\b"), "standalone")
+        F.when(line.rlike(CONSOLIDATED), "consolidated")
+        .when(line.rlike(STANDALONE), "standalone")
         .when(t.contains("consolidated"), "consolidated")
         .when(t.contains("standalone") | t.contains("separate financial"), "standalone")
         .otherwise("unknown")
@@ -52,6 +75,12 @@ def pick(scored: DataFrame, want: DataFrame | None = None, taken: DataFrame | No
     then taken pages go; with want (doc, code, basis) only that basis counts, else consolidated pages are preferred. The
     first verified candidate wins, else the best score; ties go to the earlier page.
     """
+    best = Window.partitionBy("doc", "code").orderBy(F.desc("verified"), F.desc("score"), "logical_idx")
+    return candidates(scored, want, taken).withColumn("n", F.row_number().over(best)).where("n = 1").select("doc", "code", "basis", "page", "logical_idx", "score")
+
+
+def candidates(scored: DataFrame, want: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """The pages that pick() chooses from, with `place`: their order by score, earlier pages first among equals."""
     group = Window.partitionBy("doc", "code")
     pool = scored.where("score > 0").withColumn("tier", F.max("headed").over(group)).where("headed = tier")
     if taken is not None:
@@ -60,13 +89,12 @@ def pick(scored: DataFrame, want: DataFrame | None = None, taken: DataFrame | No
         pool = pool.join(want, ["doc", "code", "basis"], "left_semi")
     else:
         pool = pool.withColumn("any", F.max(F.col("basis") == "consolidated").over(group)).where("NOT any OR basis = 'consolidated'").drop("any")
-    best = group.orderBy(F.desc("verified"), F.desc("score"), "logical_idx")
-    return pool.withColumn("n", F.row_number().over(best)).where("n = 1").select("doc", "code", "basis", "page", "logical_idx", "score")
+    return pool.withColumn("place", F.row_number().over(group.orderBy(F.desc("score"), "logical_idx")).cast("long"))
 
 
-def locate(scored: DataFrame) -> DataFrame:
-    """The primary choice, with a row for each document and statement."""
-    every = scored.select("doc", "code").distinct()
+def locate(scored: DataFrame, docs: DataFrame | None = None, codes=tuple(SIGNATURES)) -> DataFrame:
+    """The primary choice, with a row for each document (of docs, or of scored) and statement."""
+    every = scored.select("doc", "code").distinct() if docs is None else docs.select("doc").distinct().select("doc", F.explode(F.array(*map(F.lit, codes))).alias("code"))
     return every.join(pick(scored), ["doc", "code"], "left").withColumns({"basis": F.coalesce("basis", F.lit("unknown")), "score": F.coalesce("score", F.lit(0.0))})
 
 

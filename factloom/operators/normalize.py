@@ -53,21 +53,23 @@ def vetoed(label: Column, synonym: Column) -> Column:
 
 def label_matches(items: DataFrame, table: DataFrame, native: bool = False) -> DataFrame:
     """items with the metrics their labels match: each part around " representing ", or the whole if no part matches."""
-    parts = F.split("label", "(?i) representing ")
-    tried = items.withColumn("try", F.when(F.size(parts) > 1, F.concat(parts, F.array("label"))).otherwise(F.array("label")))
-    tried = tried.select("*", F.posexplode("try").alias("part", "piece")).withColumns({"piece": clean_label(F.col("piece")), "whole": F.col("part") == F.size("try") - 1})
+    tried = items.withColumn("clean", clean_label(F.col("label")))
+    parts = F.split("clean", " representing ")
+    tried = tried.withColumn("try", F.when(F.size(parts) > 1, F.concat(F.transform(parts, clean_label), F.array("clean"))).otherwise(F.array("clean")))
+    tried = tried.select("*", F.posexplode("try").alias("part", "piece")).withColumn("whole", F.col("part") == F.size("try") - 1).drop("clean")
     hit = tried.join(best_synonym(tried.select(F.col("piece").alias("label")), table, native).withColumnRenamed("label", "piece"), "piece")
     own = [c for c in items.columns if c in ("doc", "basis", "code", "page", "half", "item_seq")]
     row = Window.partitionBy(*own)
     return hit.withColumn("by_part", F.max(~F.col("whole")).over(row)).where("NOT by_part OR NOT whole").drop("try", "part", "piece", "whole", "by_part")
 
 
-def strip_references(values: Column, label: Column) -> Column:
-    """Values without a leading note reference, and then without a page reference."""
-    first = is_note_ref(F.get(values, F.lit(0)), F.get(values, F.lit(1)), label)
-    rest = F.slice(values, F.lit(2), F.size(values))
-    second = (F.size(rest) >= 2) & is_page_ref(F.get(rest, F.lit(0)), F.get(rest, F.lit(1)))
-    return F.when(F.size(values) == 0, values).when(first & second, F.slice(values, F.lit(3), F.size(values))).when(first, rest).otherwise(values)
+def without_references(values: Column, numbers: Column, label: Column) -> Column:
+    """The numbers (null where a value is none) without a leading note reference, and then without a page reference."""
+    at = lambda x, k: F.get(x, F.lit(k))
+    first = is_note_ref(at(values, 0), at(numbers, 1), label)
+    second = (F.size(values) >= 3) & is_page_ref(at(values, 1), at(values, 2), at(numbers, 2))
+    skip = F.when(F.size(values) == 0, 0).otherwise(first.cast("int") + (first & second).cast("int"))
+    return F.filter(F.slice(numbers, skip + 1, F.size(numbers)), lambda v: v.isNotNull())
 
 
 def normalize(items: DataFrame, native: bool = False) -> DataFrame:
@@ -79,8 +81,7 @@ def normalize(items: DataFrame, native: bool = False) -> DataFrame:
     m = label_matches(items, synonyms(spark), native)
     m = m.join(F.broadcast(statement_metrics(spark)), ["code", "metric"]).join(F.broadcast(metric_table(spark).select("metric", F.col("side").alias("want"))), "metric")
     m = m.where("want is null or side is null or side = want")
-    numbers = F.filter(F.transform(strip_references(F.col("values"), F.col("label")), parse_number), lambda v: v.isNotNull())
-    m = m.withColumn("numbers", numbers).where(F.size("numbers") > 0)
+    m = m.withColumn("parsed", F.transform("values", parse_number)).withColumn("numbers", without_references(F.col("values"), F.col("parsed"), F.col("label"))).where(F.size("numbers") > 0)
     order = Window.partitionBy("doc", "basis", "code", "metric").orderBy(F.desc("score"), "page", "half", "item_seq")
     best = m.withColumn("n", F.row_number().over(order)).where("n = 1")
     return best.select("doc", "basis", "code", "metric", "is_home", F.get("numbers", F.lit(0)).alias("value"), F.col("label").alias("raw_label"), "page", "score", F.slice("numbers", F.lit(2), F.size("numbers")).alias("extra_values"))

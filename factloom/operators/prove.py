@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import within
+from ..functions.numbers import let, within
 from ..plans.dims import DERIVATIONS, EXPECTED, IDENTITIES, SIGN_AMBIGUOUS, TIES
 
 KEYS = ["doc", "basis"]
@@ -34,51 +34,78 @@ def _ties_any(v, lhs: list[str], rhs: list[str]) -> Column:
     return out
 
 
-def identity_checks(v) -> list[tuple[str, Column, Column, list[str], list[str]]]:
-    """(name, whether all members exist, passes, members if it passes or fails, optional members) for v(metric) -> value."""
-    out = []
-    for name, lhs, rhs, optional in IDENTITIES:
-        there = reduce(lambda a, b: a & b, [v(m).isNotNull() for m in lhs + rhs])
-        out.append((name, there, _ties_any(v, lhs, rhs), lhs + rhs, optional))
-    return out
+def check_detail(name: str, lhs: Column, rhs: Column) -> Column:
+    """a check's name with both sums, to one decimal."""
+    return F.concat(F.lit(f"{name} ("), F.format_number(lhs, 1), F.lit(" vs "), F.format_number(rhs, 1), F.lit(")"))
 
 
 def checks(v) -> Column:
-    """All checks of one document as an array of (ord, check, ok, metric)."""
-    entry = lambda n, name, ok, m: F.struct(F.lit(n).alias("ord"), F.lit(name).alias("check"), ok.alias("ok"), F.lit(m).alias("metric"))
+    """All checks of one document as an array of (ord, check, detail, ok, metric), for v(metric) -> value."""
+    entry = lambda n, name, detail, ok, m: F.struct(F.lit(n).alias("ord"), F.lit(name).alias("check"), detail.alias("detail"), ok.alias("ok"), F.lit(m).alias("metric"))
     rows = []
-    for n, (name, there, plain, members, optional) in enumerate(identity_checks(v), 1):
-        lhs, rhs = IDENTITIES[n - 1][1], IDENTITIES[n - 1][2]
-        more = [m for m in optional]
+    for n, (name, lhs, rhs, more) in enumerate(IDENTITIES, 1):
+        there = reduce(lambda a, b: a & b, [v(m).isNotNull() for m in lhs + rhs])
         has = reduce(lambda a, b: a & b, [v(m).isNotNull() for m in more], F.lit(bool(more)))
         wide = F.coalesce(has & _ties_any(v, lhs, rhs + more), F.lit(False))
-        ok = F.coalesce(wide | plain, F.lit(False))
-        rows += [F.when(there, entry(n, name, ok, m)) for m in members]
-        rows += [F.when(there & has & (wide | ~ok), entry(n, name, ok, m)) for m in more]
+        ok = F.coalesce(wide | _ties_any(v, lhs, rhs), F.lit(False))
+        detail = check_detail(name, _sum(v, lhs), _sum(v, rhs))
+        rows += [F.when(there, entry(n, name, detail, ok, m)) for m in lhs + rhs]
+        rows += [F.when(there & has & (wide | ~ok), entry(n, name, detail, ok, m)) for m in more]
     for n, (name, a, b) in enumerate(TIES, 100):
         both = v(a).isNotNull() & v(b).isNotNull()
-        rows += [F.when(both, entry(n, name, within(v(a), v(b)), m)) for m in (a, b)]
+        rows += [F.when(both, entry(n, name, check_detail(name, v(a), v(b)), within(v(a), v(b)), m)) for m in (a, b)]
     return F.array_compact(F.array(*rows))
 
 
-def validate(obs: DataFrame, expected: list[str] = EXPECTED) -> DataFrame:
-    """One verdict a document, basis and metric; expected metrics without an observation are MISSING.
+_FACT = "struct<value: double, n: bigint, sources: array<string>, page: int, vote: boolean>"
+_FIELDS = ["metric", "status", "value", "sources", "page", "passed", "failed"]
+
+
+def _verdicts(obs: DataFrame, expected: list[str], sheets: DataFrame | None) -> DataFrame:
+    """doc, basis, rows: one array of verdicts a document and basis.
 
     Metrics of a document are folded into one map (29 entries at most), so that all rules are projections over it: after
     the consensus one exchange by (doc, basis) is left, and no rule joins.
     """
-    entry = F.struct("value", "n", "sources", "page", "vote")
+    entry = F.struct("value", "n", "sources", "page", "vote").cast(_FACT)
     docs = consensus(obs).groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct(F.col("metric"), entry))).alias("m"))
+    if sheets is not None:
+        docs = sheets.select(*KEYS).join(docs, KEYS, "left").withColumn("m", F.coalesce("m", F.create_map().cast(f"map<string, {_FACT}>")))
     docs = docs.withColumn("checks", checks(lambda x: F.col("m")[x]["value"]))
     names = F.array_union(F.map_keys("m"), F.array(*[F.lit(x) for x in expected]))
-    rows = docs.select(*KEYS, "m", "checks", F.explode(names).alias("metric")).withColumn("e", F.col("m")[F.col("metric")])
-    own = F.filter("checks", lambda c: c["metric"] == F.col("metric"))
-    voted = lambda ok: F.when(F.col("e.vote") == ok, F.array(F.lit("cross_extractor_voting"))).otherwise(F.array().cast("array<string>"))
-    listed = lambda ok: F.concat(voted(ok), F.transform(F.filter(own, lambda c: c["ok"] == ok), lambda c: c["check"]))
-    rows = rows.withColumns({"passed": listed(True), "failed": listed(False)})
-    status = F.when(F.col("e").isNull(), "MISSING").when(F.size("failed") > 0, "FLAGGED").when(F.size("passed") > 0, "VERIFIED").otherwise("PROBABLE")
-    empty = F.array().cast("array<string>")
-    return rows.select(*KEYS, "metric", status.alias("status"), F.col("e.value").alias("value"), F.coalesce("e.sources", empty).alias("sources"), F.col("e.page").alias("page"), "passed", "failed")
+    texts = "array<string>"
+
+    def verdict(metric: Column) -> Column:
+        def judged(e: Column) -> Column:
+            own = F.filter("checks", lambda c: c["metric"] == metric)
+            voted = lambda ok: F.when(e["vote"] == ok, F.array(F.lit("cross_extractor_voting"))).otherwise(F.array().cast(texts))
+            listed = lambda ok: F.concat(voted(ok), F.transform(F.filter(own, lambda c: c["ok"] == ok), lambda c: c["detail"]))
+            return let(F.struct(listed(True).alias("passed"), listed(False).alias("failed")), lambda x: F.struct(
+                metric.alias("metric"),
+                F.when(e.isNull(), "MISSING").when(F.size(x["failed"]) > 0, "FLAGGED").when(F.size(x["passed"]) > 0, "VERIFIED").otherwise("PROBABLE").alias("status"),
+                e["value"].alias("value"), F.coalesce(e["sources"], F.array().cast(texts)).alias("sources"), e["page"].alias("page"), x["passed"].alias("passed"), x["failed"].alias("failed"),
+            ))
+
+        return let(F.col("m")[metric], judged)
+
+    return docs.select(*KEYS, F.transform(names, verdict).alias("rows"))
+
+
+def _flat(docs: DataFrame) -> DataFrame:
+    return docs.select(*KEYS, F.explode("rows").alias("r")).select(*KEYS, "r.*")
+
+
+def validate(obs: DataFrame, expected: list[str] = EXPECTED, sheets: DataFrame | None = None) -> DataFrame:
+    """One verdict a document, basis and metric; expected metrics without an observation are MISSING.
+
+    sheets (doc, basis), if given, names what gets verdicts, even where nothing was observed.
+    """
+    return _flat(_verdicts(obs, expected, sheets))
+
+
+def prove(obs: DataFrame, expected: list[str] = EXPECTED, sheets: DataFrame | None = None) -> DataFrame:
+    """O9, then O10. validate() leaves a document's rows in one partition, so derive() shuffles nothing."""
+    return derive(validate(obs, expected, sheets))
 
 
 def _initial(m: Column) -> Column:
@@ -91,8 +118,10 @@ def derive(verdicts: DataFrame) -> DataFrame:
     Of the formulas whose inputs are all trusted the one with the fewest PROBABLE inputs wins, then the first. A result
     that is not positive stays MISSING and leaves a note. One pass: derived values feed no formula.
     """
-    kept = ["metric", "status", "value", "sources", "page", "passed", "failed"]
-    docs = verdicts.groupBy(*KEYS).agg(F.collect_list(F.struct(*kept)).alias("rows"))
+    return _flat(_derived(verdicts.groupBy(*KEYS).agg(F.collect_list(F.struct(*_FIELDS)).alias("rows"))))
+
+
+def _derived(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("m", F.map_from_entries(F.transform("rows", lambda r: F.struct(r["metric"], r))))
 
     def candidate(n: int, formula) -> Column:
@@ -105,18 +134,16 @@ def derive(verdicts: DataFrame) -> DataFrame:
 
     targets = list(dict.fromkeys(t for t, _ in DERIVATIONS))
     best = {t: F.array_min(F.array_compact(F.array(*[candidate(n, f) for n, (x, f) in enumerate(DERIVATIONS) if x == t]))) for t in targets}
-    made = docs.select(*KEYS, "rows", F.create_map(*[x for t in targets for x in (F.lit(t), best[t])]).alias("best"))
-    rows = made.select(*KEYS, F.explode("rows").alias("r"), "best").select(*KEYS, "r.*", F.col("best")[F.col("r.metric")].alias("d"))
-    use = (F.col("status") == "MISSING") & F.col("d").isNotNull()
-    good = use & (F.col("d.value") > 0)
-    one = lambda text: F.array(F.concat(F.lit(text), F.col("d.expr")))
-    return rows.select(
-        *KEYS,
-        "metric",
-        F.when(good, "DERIVED").otherwise(F.col("status")).alias("status"),
-        F.when(good, F.col("d.value")).otherwise(F.col("value")).alias("value"),
-        F.when(good, F.array(F.lit("derived"))).otherwise(F.col("sources")).alias("sources"),
-        F.when(good, F.col("d.page")).otherwise(F.col("page")).alias("page"),
-        F.when(good, one("derived: ")).otherwise(F.col("passed")).alias("passed"),
-        F.when(use & ~(F.col("d.value") > 0), F.concat("failed", one("derivation discarded (non-positive): "))).otherwise(F.when(good, F.array().cast("array<string>")).otherwise(F.col("failed"))).alias("failed"),
-    )
+    docs = docs.withColumn("best", F.create_map(*[x for t in targets for x in (F.lit(t), best[t])]))
+    note = lambda text, d: F.array(F.concat(F.lit(text), d["expr"]))
+
+    def filled(r: Column) -> Column:
+        def use(d: Column) -> Column:
+            good, bad = d.isNotNull() & (d["value"] > 0), d.isNotNull() & ~(d["value"] > 0)
+            pick = lambda name, made: F.when(good, made).otherwise(r[name]).alias(name)
+            failed = F.when(bad, F.concat(r["failed"], note("derivation discarded (non-positive): ", d))).when(good, F.array().cast("array<string>")).otherwise(r["failed"])
+            return F.struct(r["metric"].alias("metric"), pick("status", F.lit("DERIVED")), pick("value", d["value"]), pick("sources", F.array(F.lit("derived"))), pick("page", d["page"]), pick("passed", note("derived: ", d)), failed.alias("failed"))
+
+        return let(F.when(r["status"] == "MISSING", F.col("best")[r["metric"]]), use)
+
+    return docs.select(*KEYS, F.transform("rows", filled).alias("rows"))

@@ -14,8 +14,13 @@ def read_words(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 
 
 def input_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """The documents of a folder, by path."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length").orderBy("path")
+    """The documents of a folder. Their contents are not read; sort by path where the order matters."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+
+def named(rows: DataFrame, part: str) -> DataFrame:
+    """Rows whose doc holds `part` in whatever case; names that start with _ are no documents."""
+    return rows.where(F.contains(F.lower("doc"), F.lit(part.lower())) & ~F.col("doc").startswith("_"))
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +31,8 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_spec(specs: DataFrame) -> DataFrame:
-    """S7: "180,184-185" to one row a page."""
+    """S7: "180,184-185" to one row a page; a range that runs backwards is empty."""
     part = specs.select("spec", F.explode(F.split("spec", ",")).alias("part"))
     ends = F.split("part", "-")
-    return part.select("spec", F.explode(F.sequence(F.get(ends, F.lit(0)).cast("int"), F.element_at(ends, -1).cast("int"))).alias("page")).distinct()
+    low, high = F.trim(F.get(ends, F.lit(0))).cast("int"), F.trim(F.element_at(ends, -1)).cast("int")
+    return part.select("spec", F.explode(F.when(high >= low, F.sequence(low, high))).alias("page")).distinct()

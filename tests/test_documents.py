@@ -1,6 +1,4 @@
 import json
-import re
-import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +11,7 @@ from factloom.sources import readers, writers
 
 @pytest.fixture(scope="module")
 def items(spark):
-    halved = layout.split_two_up(corpus.statement_words(spark))
+    halved = layout.split_two_up(layout.upright_words(corpus.statement_words(spark)))
     return {(r.doc, r.page, r.item_seq): r for r in lines.raw_items(layout.lines(layout.merge_minus(layout.line_numbers(halved)))).collect()}
 
 
@@ -24,56 +22,90 @@ def test_line_parser(items):
     assert items["d05", 0, 5].label == "total non-current assets" and items["d05", 0, 8].label == "total current assets"
     assert ("d05", 0, 11) not in items  # a labelled row discards the open subtotal
     assert items["d05", 0, 14].values[0] == "-1,250"
+    assert items["d04", 0, 4].values == ["-50,000", "-45,000"] and items["d04", 0, 9].values == ["−", "−", "10,000"]
+    assert items["d06", 0, 7].label == "Total equity and liabilities" and items["d06", 0, 11].label == "Total assets" and items["d06", 0, 14].label == "Diluted earnings per equity share"
+    assert items["d07", 0, 3].values == ["10", "289", "9,869.49", "8,100.00"] and items["d07", 0, 8].label == "Total equity 4(e)"
+    assert items["d08", 0, 4].label == "Net cash generated from operating activities" and items["d08", 0, 8].label.endswith("(refer note 15)")
+    assert items["d09", 0, 5].values == ["10,000", "30,000"] and items["d03", 0, 11].values == ["90,000", "80,000"]
 
 
-def test_pipeline(spark):
-    got = {(r.doc, r.metric): r for r in pipeline.run(corpus.statement_words(spark)).collect() if r.basis == "consolidated"}
-    assert got["d01", "total_assets"].status == "VERIFIED" and got["d01", "total_assets"].value == 10000
-    assert got["d01", "closing_cash"].status == "VERIFIED" and "closing_cash_ties_to_balance_sheet" in got["d01", "closing_cash"].passed
-    assert got["d01", "cash_from_operations"].status == "VERIFIED"
-    assert got["d01", "total_expenses"].status == "DERIVED" and got["d01", "total_expenses"].value == 7900
-    assert got["d01", "depreciation"].value == 321
-    assert got["d05", "current_assets"].status == "VERIFIED"
-    spark.catalog.clearCache()
-
-
-def model(rows):
-    """The carried-state loop that the windows of raw_items() stand for: (kind, label) to (label, row) of items."""
-    out, section, heading, pending, prev = [], None, None, None, None
-    for n, (kind, label) in enumerate(rows):
-        if kind == "item":
-            if prev and label[:1].islower():
-                label = f"{prev} {label}"
-            prev = None
-            if section and re.fullmatch("(total|basic|diluted):?", label, re.I):
-                label = f"{label.rstrip(':')} {section}"
-            if re.match(r"(total|net)\b", label, re.I) and pending:
-                out.append(pending)
-            pending = None
-            if re.match(r"total\b", label, re.I):
-                heading = None
-            out.append((label, n))
-        elif kind == "bare" and heading:
-            prev, pending = None, (f"total {heading}", n)
-        elif kind == "text":
-            if pending:
-                out.append(pending)
-            pending, prev = None, label
-            section = re.sub(r"^[\divxlc]+[.)]\s*", "", re.sub(r"\([^)]*\)", " ", label.lower())).strip()
-            if "current" in section:
-                heading = section
-    return out + ([pending] if pending else [])
-
-
-def test_block_state_against_a_loop(spark):
-    rng = random.Random(3)
-    docs = [[rng.choice([("item", "Stock"), ("item", "Total"), ("item", "total assets"), ("item", "Net sales"), ("item", "wrapped end"), ("bare", ""), ("bare", ""), ("text", "Current assets"), ("text", "Non-current"), ("text", "Notes")]) for _ in range(rng.randint(1, 14))] for _ in range(150)]
-    rows = [(f"d{d:03}", 0, 0, n, [(10.0 * k, k, w, 10.0 * k + 5) for k, w in enumerate(label.split() + (["7,000"] if kind != "text" else []))]) for d, doc in enumerate(docs) for n, (kind, label) in enumerate(doc)]
-    df = spark.createDataFrame(rows, "doc string, page int, half int, line_no int, toks array<struct<x0: double, word_idx: int, text: string, x1: double>>")
-    got: dict = {}
-    for r in lines.raw_items(df).orderBy("doc", "item_seq").collect():
-        got.setdefault(r.doc, []).append((r.label, r.item_seq))
-    assert got == {f"d{d:03}": model(doc) for d, doc in enumerate(docs) if model(doc)}
+@pytest.fixture(scope="module")
+def made(spark):
+    run = pipeline.run_all(corpus.statement_words(spark))
+    yield run, {(r.doc, r.basis, r.metric): r for r in run.verdicts.collect()}
+    run.close()
+
+
+def test_reports_of_all_documents(made):
+    got = made[1]
+    for doc in ("d01", "d02", "d03", "d05", "d06", "d07", "d09", "d10", "d11", "d12"):
+        assert sum(k[:2] == (doc, "consolidated") for k in got) in (28, 29)
+    value = lambda doc, metric, basis="consolidated": (got[doc, basis, metric].status, got[doc, basis, metric].value)
+    assert value("d01", "total_assets") == ("VERIFIED", 10000.0) and value("d01", "cash_from_operations") == ("VERIFIED", 800.0)
+    assert got["d01", "consolidated", "closing_cash"].passed == ["closing_cash_ties_to_balance_sheet (500.0 vs 500.0)"]
+    assert got["d01", "consolidated", "total_assets"].passed == [f"{c} (10,000.0 vs 10,000.0)" for c in ("balance_sheet_identity", "equity_liabilities_total", "assets_composition")]
+    assert value("d01", "total_expenses") == ("DERIVED", 7900.0) and value("d01", "depreciation") == ("PROBABLE", 321.0)
+    assert value("d02", "total_assets") == ("VERIFIED", 10000.0) and value("d02", "net_profit") == ("VERIFIED", 900.0)  # both halves of a sheet
+    assert value("d03", "total_assets") == ("VERIFIED", 90000.0) and value("d03", "total_equity_and_liabilities") == ("DERIVED", 90000.0)
+    assert value("d04", "tax_expense", "financials") == ("VERIFIED", -5000.0) and value("d04", "other_income", "financials") == ("PROBABLE", 10000.0)
+    assert value("d05", "current_assets") == ("VERIFIED", 4000.0) and value("d05", "total_equity") == ("DERIVED", 6500.0)
+    assert value("d06", "total_assets") == ("VERIFIED", 200000.0) and value("d06", "total_equity_and_liabilities") == ("VERIFIED", 200000.0)
+    assert value("d07", "inventories") == ("PROBABLE", 9869.49) and value("d07", "non_current_assets") == ("VERIFIED", 718.0) and value("d07", "total_equity") == ("VERIFIED", 21.0)
+    assert value("d08", "cash_from_operations", "financials") == ("VERIFIED", 80000.0) and value("d08", "closing_cash", "financials") == ("PROBABLE", 50000.0)
+    assert value("d10", "total_assets") == ("VERIFIED", 10000.0) and got["d10", "consolidated", "total_assets"].page == 4
+    assert value("d11", "total_assets") == ("FLAGGED", 99900.0) and got["d11", "consolidated", "total_assets"].failed == ["balance_sheet_identity (99,900.0 vs 30,000.0)"]
+    assert value("d11", "tax_expense") == ("VERIFIED", -3000.0) and value("d11", "fx_effect_on_cash") == ("VERIFIED", 1000.0) and value("d11", "net_change_in_cash") == ("VERIFIED", 3000.0)
+    assert value("d12", "total_assets") == ("VERIFIED", 10000.0) and value("d12", "closing_cash") == ("VERIFIED", 500.0)  # tabs beside the text, and a page turned as a whole
+
+
+def test_both_bases_of_one_page(made):
+    run, got = made
+    for metric, alone in (("total_assets", 10000.0), ("non_current_assets", 6000.0), ("current_assets", 4000.0), ("total_equity", 7000.0), ("total_liabilities", 3000.0), ("total_equity_and_liabilities", 10000.0)):
+        for basis, times in (("standalone", 1), ("consolidated", 3)):
+            assert (got["d09", basis, metric].status, got["d09", basis, metric].value) == ("VERIFIED", times * alone)
+    beside = {r.metric: r for r in run.side_by_side.where("doc = 'd09'").collect()}
+    assert len(beside) == 29 and beside["total_assets"].difference == 20000.0 and beside["revenue"].consolidated_status == "MISSING"
+    assert run.side_by_side.where("doc <> 'd09'").count() == 0
+
+
+def test_columns_whose_headings_stand_apart(spark):
+    words = [("Standalone", 200.0, 270.0), ("Consolidated", 450.0, 530.0)]
+    df = spark.createDataFrame([("d", 0, 0, 1, [(a, k, w, b) for k, (w, a, b) in enumerate(words)])], LINES)
+    assert [tuple(r) for r in lines.basis_ranges(df).first().ranges] == [("standalone", 0.0, 435.0), ("consolidated", 435.0, 9999.0)]
+
+
+def test_units_periods_and_documents_without_a_statement(spark):
+    lines_ = [("Annual report, Rs. in Lakhs, 31 March 2025 and 31 March 2024", []), ("nothing else", ["7"])]
+    words = spark.createDataFrame(corpus._words("x", 0, lines_), readers.WORDS)
+    rows = pipeline.run(words).collect()
+    assert {r.basis for r in rows} == {"financials"} and {r.status for r in rows} == {"MISSING"} and len(rows) == 28
+    assert {(r.unit, r.currency, r.multiplier, r.current_period, r.prior_period) for r in rows} == {("Lakhs", "INR", 100000.0, "31 March 2025", "31 March 2024")}
+
+
+LINES = "doc string, page int, half int, line_no int, toks array<struct<x0: double, word_idx: int, text: string, x1: double>>"
+
+
+@pytest.mark.parametrize("page, rows", [
+    (["Non-current assets", "9", "Current assets"], [("total non-current assets", 2)]),  # a text line ends the block
+    (["Current assets", "Stock 5", "9", "Total assets 12"], [("Stock", 2), ("total current assets", 3), ("Total assets", 4)]),  # a total does
+    (["Current assets", "9", "Net assets 12"], [("total current assets", 2), ("Net assets", 3)]),  # so does a net row
+    (["Current assets", "8", "9"], [("total current assets", 3)]),  # the end of the page; of several rows the last counts
+    (["Current assets", "9", "Stock 5", "Total 7"], [("Stock", 3), ("Total current assets", 4)]),  # a labelled row drops it
+    (["Current assets", "Total assets 7", "9", "Notes"], [("Total assets", 2)]),  # a total has closed the block
+    (["9", "Stock 5"], [("Stock", 2)]),  # no block is open
+    (["Profit for the", "year 5"], [("Profit for the year", 2)]),  # a wrapped label
+    (["Profit for the", "9", "year 5"], [("Profit for the year", 3)]),  # a bare row outside a block does not part it
+    (["Current assets", "9", "wrapped 5"], [("wrapped", 3)]),  # within a block it does
+    (["Profit for the", "Stock 5", "year 6"], [("Stock", 2), ("year", 3)]),
+    (["I. ASSETS (unaudited)", "Loans 5", "Total: 7", "Basic 1"], [("Loans", 2), ("Total assets", 3), ("Basic assets", 4)]),  # bare totals take the heading
+    (["Current assets", "whole", "total 5", "9", "Notes"], [("whole total", 3), ("total current assets", 4)]),  # a wrapped total is none
+    (["Current assets", "Grand", "total 5", "9", "all", "of it 6", "8"], [("Grand total", 3), ("total current assets", 4), ("all of it", 6), ("total current assets", 7)]),
+    (["Current assets", "of all", "total", "sums 5", "9"], [("total sums", 4)]),  # a wrapped label makes it a total
+])
+def test_states_of_a_page(spark, page, rows):
+    toks = [[(10.0 * k, k, w, 10.0 * k + 5) for k, w in enumerate(line.split())] for line in page]
+    df = spark.createDataFrame([("d", 0, 0, n, t) for n, t in enumerate(toks, 1)], LINES)
+    assert [(r.label, r.item_seq) for r in lines.raw_items(df).orderBy("item_seq").collect()] == rows
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -82,6 +114,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r.doc, r.metric, r.golden) for r in readers.read_golden(spark, str(tmp_path / "g.json")).collect()] == [("A", "revenue", 5.0)]
     spec = spark.createDataFrame([("180,184-185",)], "spec string")
     assert sorted(r.page for r in readers.page_spec(spec).collect()) == [180, 184, 185]
+    assert writers.default_output("/data/words/acme.parquet/") == "output/acme_metrics"
     v = spark.createDataFrame([("d", "standalone", "revenue", "VERIFIED", 1.0, ["a\x01"], 0, ["x"], [])], "doc string, basis string, metric string, status string, value double, sources array<string>, page int, passed array<string>, failed array<string>")
     writers.write_sheets(v, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).where("metric = 'revenue'").first()
@@ -107,11 +140,44 @@ SF = "/root/testdata/sf0.001"
 
 def test_whole_tables_reach_the_line_parser_and_the_plan(spark):
     pages = {(r.doc, r.page): r.text.split("\n") for r in adapters.relation(spark, SF, adapters.PAGES).collect()}
-    got = {(r.doc, r.page, r.item_seq): (r.label, r["values"]) for r in queries.QUERIES["o7_line_parser"](spark, SF).collect()}
+    got = {(r.doc, r.page, r.item_seq): (r.label, r["values"].split("|")) for r in queries.QUERIES["o7_line_parser"](spark, SF).collect()}
     for (doc, page), text in pages.items():
         *label, a, b = text[1].split(" ")
         assert (" ".join(label), [a, b]) in [v for (d, p, _), v in got.items() if (d, p) == (doc, page)]
     verdicts = queries.QUERIES["o13_pipeline"](spark, SF).select("doc").distinct()
     assert {r.doc for r in verdicts.collect()} <= {doc for doc, _ in pages}
     assert verdicts.count() > 50
-    spark.catalog.clearCache()
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from factloom import __main__ as cli
+
+    monkeypatch.chdir(tmp_path)
+    corpus.statement_words(spark).where("doc IN ('d01', 'd09')").write.parquet(str(tmp_path / "words"))
+    golden = {"d01": {"unit": "INR", "basis": "consolidated", "metrics": {"total_assets": {"value": 10000, "page": 1, "label": "x"}, "revenue": {"value": 7, "page": 2, "label": "x"}}}}
+    (tmp_path / "golden.json").write_text(json.dumps(golden))
+    cli.main(["run", str(tmp_path / "words"), str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out/metrics")).select("doc", "sheet").distinct().count() == 3
+    assert spark.read.parquet(str(tmp_path / "out/side_by_side")).count() == 29
+    cli.main(["golden", str(tmp_path / "words"), str(tmp_path / "golden.json"), "D0"])
+    shown = [line.replace(" ", "") for line in capsys.readouterr().out.splitlines()]
+    assert "|d01|1|0|0|1|0|1|" in shown and "|NULL|1|0|0|1|0|1|" in shown  # a wrong revenue, verified by the document's own sums
+
+
+def test_stream_waits_for_whole_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factloom.streaming.verdicts import stream_verdicts
+
+    words = corpus.statement_words(spark).where("doc IN ('d05', 'd06')").withColumn("last", F.lit(False))
+    half = words.where("doc = 'd05' AND top < 100").unionByName(words.where("doc = 'd06'").withColumn("last", F.col("word_idx") == 0))
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    half.coalesce(1).write.parquet(folder)
+    stream_verdicts(spark, folder, out, str(tmp_path / "state")).awaitTermination()
+    seen = spark.read.parquet(f"{out}/verdicts")
+    assert {r.doc for r in seen.select("doc").distinct().collect()} == {"d06"}
+    words.where("doc = 'd05' AND top >= 100").withColumn("last", F.lit(True)).coalesce(1).write.mode("append").parquet(folder)
+    stream_verdicts(spark, folder, out, str(tmp_path / "state")).awaitTermination()
+    seen = spark.read.parquet(f"{out}/verdicts")
+    assert {r.doc: r["count"] for r in seen.groupBy("doc").count().collect()} == {"d05": 28, "d06": 28}
+    assert seen.where("doc = 'd05' AND metric = 'current_assets' AND status = 'VERIFIED'").count() == 1

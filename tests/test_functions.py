@@ -6,13 +6,24 @@ from factloom.functions import similarity as S
 from factloom.functions import text as T
 
 
+@pytest.mark.parametrize("text, unit", [("(Rs. in Crores)", ("Crores", "INR", 1e7, "rs. in crores")), ("(in Millions)", ("Millions", "UNKNOWN", 1e6, "in millions")), ("USD in thousands", ("Thousands", "USD", 1e3, "usd in thousands")), ("Amounts in ₹ lakhs", ("Lakhs", "INR", 1e5, "₹ lakhs")), ("in europe", ("Millions", "EUR", 1e6, "eur")), ("nothing here", ("Units", "UNKNOWN", 1.0, "default"))])
+def test_units(spark, text, unit):
+    assert tuple(one(spark, T.detect_unit(F.col("t")), t=text)) == unit
+
+
+@pytest.mark.parametrize("text, current, prior", [("31 March 2025 and 31 March 2024", "31 March 2025", "31 March 2024"), ("as at 31 December 2025", "31 December 2025", None), ("FY25 against FY24", "FY25", "FY24"), ("March 31, 2025", "Current", "Prior"), ("1st Jan 2020, 1st Jan 2020, 2nd feb 2019", "1st Jan 2020", "2nd feb 2019")])
+def test_periods(spark, text, current, prior):
+    got = one(spark, T.detect_periods(F.col("t")), t=text)
+    assert (got.current, got.prior) == (current, prior)
+
+
 def one(spark, column, **values):
     kinds = {str: "string", float: "double", int: "int", bool: "boolean"}
     schema = ", ".join(f"{k} {kinds[type(v)] if v is not None else 'string'}" for k, v in values.items())
     return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("out")).first().out
 
 
-@pytest.mark.parametrize("tok, value", [("1,49,982", 149982.0), ("(1,234.5)", -1234.5), ("−112,858", -112858.0), ("8,207.65", 8207.65), ("1,234*", 1234.0), ("-", None), ("abc", None), ("5d", None), ("1_0", None), ("(−5)", 5.0), ("12%", 12.0), ("", None), (None, None), ("1.2.3", None)])
+@pytest.mark.parametrize("tok, value", [("1,49,982", 149982.0), ("(1,234.5)", -1234.5), ("−112,858", -112858.0), ("8,207.65", 8207.65), ("1,234*", 1234.0), ("-", None), ("abc", None), ("5d", None), ("1_0", 10.0), ("(−5)", -5.0), ("(-5)*", -5.0), ("(1,234", 1234.0), ("1,234)", 1234.0), ("1 234", None), ("((7))", -7.0), ("(5)%", None), ("- 5", -5.0), ("--5", 5.0), ("+5", 5.0), ("12%", 12.0), ("", None), (None, None), ("1.2.3", None)])
 def test_parse_number(spark, tok, value):
     assert one(spark, N.parse_number(F.col("t")), t=tok) == value
 
