@@ -17,7 +17,7 @@ BASE, RATE, TOP = 1.001, 20.0, 0xFFFF
 #: A pair goes on to the exact check unless the likelihood of the threshold is this far (in nats) below the best one.
 DOUBT = 20.0
 #: Members that one task compares on either side, and their shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 20
 #: Rows of ids (some 40 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 
@@ -274,20 +274,20 @@ def _grouped(rows: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     sketched = stage(_sketches(rows, shingle, bands, per), "sketches")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "row")).alias("lead")
     classes = stage(sketched.where("key is not null").groupBy("key").agg(lead, F.first("bands").alias("bands")), "classes")
-    banded = classes.select("key", F.explode("bands").alias("band"))
-    h = F.xxhash64("key")
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.min(h).alias("low"), F.max(h).alias("high"), F.bit_xor(h).alias("mixed")).where("rows > 1")
+    # Buckets know a class by a hash of its key: two classes of one hash only make a bucket larger.
+    banded = classes.select(F.xxhash64("key").alias("h"), F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.min("h").alias("low"), F.max("h").alias("high"), F.bit_xor("h").alias("mixed")).where("rows > 1")
     buckets = buckets.groupBy("rows", "low", "high", "mixed").agg(F.min("band").alias("band")).select("band", "rows")
     placed = stage(banded.join(buckets, "band"), "placed")
-    wanted = classes.join(few(placed.select("key").distinct(), BROADCAST_IDS), "key", "left_semi").select(F.col("lead.doc_id").alias("d"), F.col("lead.tk").alias("t"))
+    wanted = classes.withColumn("h", F.xxhash64("key")).join(few(placed.select("h").distinct(), BROADCAST_IDS), "h", "left_semi").select(F.col("lead.doc_id").alias("d"), F.col("lead.tk").alias("t"))
     texts = rows.join(few(wanted, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")), "left_semi")
     sets = stage(_full_sets(texts, shingle).dropDuplicates(["key"]), "sets")
 
-    members = placed.join(sets.select("key", "n", "registers"), "key")
+    members = placed.join(sets.select(F.xxhash64("key").alias("h"), "key", "n", "registers"), "h").drop("h")
     small = members.where(F.col("rows") <= BLOCK_DOCS).repartition("band").sortWithinPartitions("band").mapInArrow(_bucket_links(percent), EDGES)
     near = stage(small, "near")
     if not (hot := placed.where(F.col("rows") > BLOCK_DOCS)).isEmpty():
-        large = hot.groupBy("band").agg(F.min("key").alias("hub"), _blocks(F.count(F.lit(1)), F.lit(0)).alias("blocks"))
+        large = members.where(F.col("rows") > BLOCK_DOCS).groupBy("band").agg(F.min("key").alias("hub"), _blocks(F.count(F.lit(1)), F.lit(0)).alias("blocks"))
         near = near.union(_large_links(members.drop("rows"), few(large, BROADCAST_IDS), "band", percent, False))
 
     clusters = components(near).toDF("key", "cluster")
