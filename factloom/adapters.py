@@ -166,9 +166,10 @@ FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM {lineite
 """
 
 #: Half pages of the line parser: text lines, rows with and without labels, closing and ordinary ones, by order and line number.
+#: No word is a reference heading, so no value floor applies: its SQL has none (w11_value_floor covers it).
 BLOCKS = """
 SELECT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS doc, 0 AS page, 0 AS half, CAST(l_linenumber * 8 + w.i AS INT) AS word_idx,
-  CASE WHEN w.i = 0 THEN CASE k WHEN 0 THEN 'Stock' WHEN 1 THEN 'Total' WHEN 2 THEN 'total' WHEN 3 THEN 'Net' WHEN 4 THEN 'wrapped' WHEN 5 THEN 'Current' WHEN 6 THEN 'Non-current' WHEN 7 THEN 'Notes' ELSE CAST(1000 + p AS VARCHAR(20)) END
+  CASE WHEN w.i = 0 THEN CASE k WHEN 0 THEN 'Stock' WHEN 1 THEN 'Total' WHEN 2 THEN 'total' WHEN 3 THEN 'Net' WHEN 4 THEN 'wrapped' WHEN 5 THEN 'Current' WHEN 6 THEN 'Non-current' WHEN 7 THEN 'Remarks' ELSE CAST(1000 + p AS VARCHAR(20)) END
     WHEN w.i = 1 THEN CASE k WHEN 2 THEN 'assets' WHEN 3 THEN 'sales' WHEN 4 THEN 'end' WHEN 5 THEN 'assets' WHEN 6 THEN 'liabilities' ELSE CAST(p AS VARCHAR(20)) END
     ELSE concat(CAST(p AS VARCHAR(20)), ',500') END AS text,
   CAST(40 * w.i AS DOUBLE) AS x0, CAST(40 * w.i + 30 AS DOUBLE) AS x1, CAST(12 * l_linenumber AS DOUBLE) AS top
