@@ -186,6 +186,8 @@ class ByteBpe:
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         if model["normalizer"] or any(x["lstrip"] or x["rstrip"] or x["single_word"] or _CUTS.findall(x["content"]) != [x["content"]] for x in model["added_tokens"]):
             raise ValueError(f"{path} has a normaliser or special strings that reach over white space")
+        #: What every special string starts with.
+        self.lead = os.path.commonprefix(list(self.special))
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.token_bytes = {i: bytes(byte[c] for c in s) for s, i in self.vocab.items() if s not in self.special}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
@@ -193,6 +195,7 @@ class ByteBpe:
         ranges = dict(proof.moved)
         every = "".join(ranges.values())
         self.moved = regex.compile(f"[{every}]" if every else r"(?!)")
+        self.moved_ascii = bool(self.moved.search("".join(map(chr, range(128)))))
         sets = {k: f"[[{own}--[{every}]]||[{ranges[k]}]]" if k in ranges else f"[{own}--[{every}]]" for k, own in (("letter", r"\p{L}"), ("number", r"\p{N}"), ("space", r"\s"), ("other", r"[^\s\p{L}\p{N}]"))} if every else {}
         pattern = public_tokenizers.PATTERN
         if every:
@@ -210,16 +213,19 @@ class ByteBpe:
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
-        return (self.moved_pieces if self.moved.search(text) else self._PIECES).findall(text)
+        odd = self.moved_ascii if text.isascii() else True
+        return (self.moved_pieces if odd and self.moved.search(text) else self._PIECES).findall(text)
 
-    def parts(self, cut: str):
+    def parts(self, cut: str) -> list[str | int]:
         """A cut's pre-tokens as texts, and its special strings as ids, in order."""
-        at = 0
+        if self.lead not in cut:
+            return self.pieces(cut)
+        out, at = [], 0
         for m in self.specials.finditer(cut):
-            yield from self.pieces(cut[at : m.start()])
-            yield self.special[m[0]]
+            out += self.pieces(cut[at : m.start()])
+            out.append(self.special[m[0]])
             at = m.end()
-        yield from self.pieces(cut[at:] if at else cut)
+        return out + self.pieces(cut[at:])
 
 
 class WholeTokenCounter(ByteBpe):
