@@ -1,4 +1,5 @@
-from factloom.operators import prove
+from factloom.operators import prove, report
+from factloom.plans.dims import IDENTITIES, TIES
 
 SCHEMA = "doc string, basis string, metric string, value double, source string, page int, seq long"
 
@@ -40,3 +41,27 @@ def test_sign_and_optional_members(spark):
 def test_voting(spark):
     got = verdicts(spark, [("revenue", 100), ("revenue", 101), ("revenue", 100.5)], [])
     assert got["revenue"].status == "VERIFIED" and got["revenue"].value == 100.5
+
+
+def test_checks_worked_once_a_document(spark):
+    """The plan spells each check's two sums out once, in no filter; a filter of the verdicts' size used to repeat them inlined."""
+    obs = spark.createDataFrame([("d", "consolidated", "revenue", 1.0, "x", 0, 1)], SCHEMA)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    for out in (prove.validate(obs), prove.prove(obs), prove.derive(prove.validate(obs))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("format_number(") == 2 * (len(IDENTITIES) + len(TIES))
+        assert not any("Filter" in line.split("(")[0] for line in plan.splitlines() if "format_number(" in line)
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_proof_at_once_equals_its_steps(spark):
+    rows = [(d, "consolidated", m, v, "x", 0, n) for d, vs in (("d", (300.0, 200.0, 100.0)), ("e", (300.0, None, 100.0)), ("f", (100.0, None, 300.0))) for n, (m, v) in enumerate(zip(("total_assets", "total_liabilities", "total_equity"), vs, strict=True)) if v is not None]
+    obs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(str, prove.prove(obs).collect())) == sorted(map(str, prove.derive(prove.validate(obs)).collect()))
+
+
+def test_scorecard_rolls_up_counts(spark):
+    verdicts = spark.createDataFrame([("a", "FLAGGED"), ("a", "MISSING"), ("b", "MISSING")], "doc string, status string")
+    out = report.scorecard(verdicts)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    assert {r.doc: (r.flagged, r.missing, r.verified) for r in out.collect()} == {"a": (1, 1, 0), "b": (0, 1, 0), None: (1, 2, 0)}
