@@ -65,3 +65,13 @@ def test_scorecard_rolls_up_counts(spark):
     out = report.scorecard(verdicts)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
     assert {r.doc: (r.flagged, r.missing, r.verified) for r in out.collect()} == {"a": (1, 1, 0), "b": (0, 1, 0), None: (1, 2, 0)}
+
+
+def test_consensus_keeps_one_list(spark):
+    """Odd, even, null and no values, by one list a metric instead of three states that are written and merged."""
+    rows = [("d", "b", m, v, s, p, p) for m, seen in {"odd": [(3.0, "y"), (1.0, "x"), (2.0, "x")], "even": [(4.0, "x"), (1.0, None)], "null": [(None, "x"), (5.0, "x")], "none": [(None, "x")]}.items() for p, (v, s) in enumerate(seen)]
+    out = prove.consensus(spark.createDataFrame(rows, SCHEMA))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "collect_set(" not in plan
+    got = {r.metric: (r.value, r.n, r.sources) for r in out.collect()}
+    assert got == {"odd": (2.0, 3, ["x", "y"]), "even": (2.5, 2, ["x"]), "null": (5.0, 2, ["x"]), "none": (None, 1, ["x"])}
