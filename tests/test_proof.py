@@ -75,3 +75,31 @@ def test_consensus_keeps_one_list(spark):
     assert "percentile(" not in plan and "collect_set(" not in plan
     got = {r.metric: (r.value, r.n, r.sources) for r in out.collect()}
     assert got == {"odd": (2.0, 3, ["x", "y"]), "even": (2.5, 2, ["x"]), "null": (5.0, 2, ["x"]), "none": (None, 1, ["x"])}
+
+
+def test_documents_dealt_once_and_checked_outside_lambdas(spark):
+    """Observations are dealt by document, one exchange in all; details and bits of checks are worked on plain columns below the explode."""
+    obs = spark.createDataFrame([("d", "consolidated", "revenue", 1.0, "x", 0, 1)], SCHEMA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    for out in (prove.validate(obs), prove.prove(obs), report.scorecard(prove.prove(obs)).where("doc is not null"), prove.validate(obs).where("status <> 'MISSING'").select("metric", "status")):
+        executed = out._jdf.queryExecution().executedPlan().toString()
+        by_doc = [line for line in executed.splitlines() if "Exchange hashpartitioning(doc" in line and "spark_grouping_id" not in line]
+        assert len(by_doc) == 1 and "REPARTITION_BY_COL" in by_doc[0]
+        plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        explode = next(n for n, line in enumerate(plan) if "Generate" in line)
+        assert not any("format_number(" in line for line in plan[:explode])
+        assert not any("format_number(" in line and "lambda" in line for line in plan)
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_optional_members_and_votes_in_lists(spark):
+    """An optional member is in a check's list only where it was taken or nothing holds; a vote stands before the checks."""
+    cash = [("net_change_in_cash", 20), ("cash_from_operations", 100), ("cash_from_investing", -50), ("cash_from_financing", -30)]
+    got = verdicts(spark, [*cash, ("fx_effect_on_cash", 40)], [])
+    assert got["fx_effect_on_cash"].passed == [] and got["net_change_in_cash"].passed == ["cash_flow_total (20.0 vs 20.0)"]
+    got = verdicts(spark, [(m, v + 900 * (m == "net_change_in_cash")) for m, v in cash] + [("fx_effect_on_cash", 40)], [])
+    assert got["fx_effect_on_cash"].failed == ["cash_flow_total (920.0 vs 20.0)"]
+    got = verdicts(spark, [("total_assets", 300), ("total_assets", 301), ("total_liabilities", 200), ("total_equity", 50)], [])
+    assert got["total_assets"].passed == ["cross_extractor_voting"] and got["total_assets"].failed == ["balance_sheet_identity (300.5 vs 250.0)"] and got["total_assets"].status == "FLAGGED"
