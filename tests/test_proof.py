@@ -103,3 +103,27 @@ def test_optional_members_and_votes_in_lists(spark):
     assert got["fx_effect_on_cash"].failed == ["cash_flow_total (920.0 vs 20.0)"]
     got = verdicts(spark, [("total_assets", 300), ("total_assets", 301), ("total_liabilities", 200), ("total_equity", 50)], [])
     assert got["total_assets"].passed == ["cross_extractor_voting"] and got["total_assets"].failed == ["balance_sheet_identity (300.5 vs 250.0)"] and got["total_assets"].status == "FLAGGED"
+
+
+def test_checks_by_themselves(spark):
+    """checked() says of each check what the verdicts' lists say, and the plan of one check makes no details and deals its own metrics only."""
+    cash = [("net_change_in_cash", 20.0), ("cash_from_operations", 100.0), ("cash_from_investing", -50.0), ("cash_from_financing", -30.0)]
+    docs = {
+        "a": [("total_assets", 300.0), ("total_liabilities", 200.0), ("total_equity", 100.0), ("current_assets", 1.0), ("non_current_assets", 2.0)],
+        "b": [("total_assets", 300.0), ("total_assets", 301.0), ("total_assets", 900.0), ("total_liabilities", 201.0), ("total_equity", 100.0)],
+        "c": [*cash, ("fx_effect_on_cash", 40.0)], "d": [("net_change_in_cash", 60.0), *cash[1:], ("fx_effect_on_cash", 40.0)], "e": [("net_change_in_cash", 999.0), *cash[1:], ("fx_effect_on_cash", 40.0)],
+        "f": [("profit_before_tax", 1200.0), ("net_profit", 900.0), ("tax_expense", -300.0), ("closing_cash", 5.0), ("cash_and_equivalents", 50.0)],
+        "g": [("closing_cash", None), ("cash_and_equivalents", 50.0), ("revenue", 7.0)],
+    }
+    obs = spark.createDataFrame([(d, "consolidated", m, v, "x", 0, n) for d, seen in docs.items() for n, (m, v) in enumerate(seen)], SCHEMA)
+    told = {}
+    for r in prove.validate(obs).collect():
+        for ok, texts in ((True, r.passed), (False, r.failed)):
+            for name in (t.split(" (")[0] for t in texts if " (" in t):
+                told.setdefault((r.doc, name, ok), []).append(r.metric)
+    got = {(r.doc, r.check, r.ok): r.n_metrics for r in prove.checked(obs).collect()}
+    assert got == {k: len(v) for k, v in told.items()} and len(got) == 8
+    one = prove.checked(obs, ["cash_flow_total"])
+    assert {(r.doc, r.check, r.ok, r.n_metrics) for r in one.collect()} == {("c", "cash_flow_total", True, 4), ("d", "cash_flow_total", True, 5), ("e", "cash_flow_total", False, 5)}
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_number(" not in plan and "total_assets" not in plan
